@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sentencepiece_codec, sharding, token_files, url_filters, warc
+from . import language_id, quality_rules, sentencepiece_codec, sharding, token_files, url_filters, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -10,5 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op6_token_files": token_files.op6_token_files,
     "op7_warc": warc.op7_warc,
+    "op8_language_id": language_id.op8_language_id,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 SQL = {"op2_url_filters": url_filters.OP2_SQL, "op7_warc": warc.OP7_SQL}
