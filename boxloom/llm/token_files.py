@@ -7,7 +7,7 @@ padding of a file's last sequence); ``.doc.arrow`` holds a row per document: key
 manifest, a row per file pair, adds the number of ids in all files before.  :func:`sequence` reads one sequence of a
 memory-mapped file.
 
-Encoding is cached by unit, a run of white space with the non-blank run after it: a byte-level BPE never merges
+Encoding is cached by unit, a word or a run of signs with the white space before it: a byte-level BPE never merges
 across such a place.  Every unit is encoded by the tokenizers library.
 
 Defined results: a null text is empty, so its only id is the end id; rows without a key come first; rows with equal
@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +32,55 @@ from .files import make_folder, reading, task_file, writing
 
 LENGTH = 2_048
 SEQUENCES = 64  # in a batch of a file
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
+CACHED_LENGTH = 64
 END_ID = 2  # fixed by the query's contract
 
 
-class TextEncoder:
-    """The library's ids of a text, by way of cached units."""
+def byte_characters() -> dict[int, str]:
+    """The character by which a byte-level BPE writes each byte: printable ones stand for themselves, the others for
+    those from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+class TextEncoder(dict):
+    """The library's ids of a text, by way of units: cut after white space and letters, where the library's own
+    splitting cuts too.  Ids of units are kept as bytes, computed when first asked for."""
 
     #: White space as the tokenizers library has it: Python's, but not the four separators U+001C to U+001F.
-    units = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+    units = re.compile(r"[^\S\x1c-\x1f]*(?:(?:[^\w\s]|[\d_\x1c-\x1f])*+[^\W\d_]+|(?:[^\w\s]|[\d_\x1c-\x1f])+)|[^\S\x1c-\x1f]+")
+    #: Units that the library takes as one word, so that its model alone gives the ids.
+    word = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``dtype``."""
-        cut = [self.units.findall(x) for x in texts]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        for one in cut:
-            new = [x for x in dict.fromkeys(one) if x not in cache]
-            if new:
-                for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    cache[x] = np.asarray(got.ids, self.dtype).tobytes()
-        return [b"".join(map(cache.__getitem__, one)) for one in cut]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+
+    def __missing__(self, unit: str) -> bytes:
+        if self.word.fullmatch(unit):
+            ids = [x.id for x in self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))]
+        else:
+            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        got = array(self.code, ids).tobytes()
+        if len(unit) <= CACHED_LENGTH:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = got
+        return got
+
+    def text(self, text: str) -> bytes:
+        """The ids of a text as integers of ``dtype``."""
+        return b"".join(map(self.__getitem__, self.units.findall(text)))
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -130,7 +148,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
             while batch is not None:
                 starts, counts = [], []
                 for at in range(0, batch.num_rows, 256):
-                    for ids in code.texts(batch["text"].slice(at, 256).to_pylist()):
+                    for ids in map(code.text, batch["text"].slice(at, 256).to_pylist()):
                         starts.append(sequences.total)
                         sequences.add(ids + end)
                         counts.append(sequences.total - starts[-1])
