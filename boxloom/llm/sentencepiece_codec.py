@@ -26,6 +26,7 @@ an existing column with the output's name is replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,14 @@ from pyspark.sql import types as T
 
 from .common import stored, table
 
-CHUNK = 16_384
+CHUNK = 65_536
 BLANK = "▁"
 #: Cached units of a worker; the cache is emptied when it is full, which changes no result.
 CACHE_UNITS = 400_000
+#: Texts in a batch of results.
+ROWS = 256
+#: Units up to this length are cached.
+CACHED_LENGTH = 64
 UNKNOWN = -1
 START, END = -1, -2
 
@@ -84,11 +89,16 @@ class Vocabulary:
         self.unknown_id = next((i for i, p in enumerate(pieces) if p[2] == "unknown"), 0)
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.follows: dict[int, bool] = {}
+        self.built: dict[int, list | None] = {}
         self.breaks_lines = not any("\n" in x for x in self.ids)
         if any(re.search(f"[^{BLANK}]{BLANK}", x) for x in self.ids):
             raise NotImplementedError("pieces that span words")
         line = "\n" if self.breaks_lines else ""
-        self.units = re.compile(f"{'[' + line + ']|' if line else ''}{BLANK}*[^{BLANK}{line}]+|{BLANK}+")
+        # signs that no piece has right after a letter: a word ends before them
+        ends = {c for x in self.ids for c in x} - {b for x in self.ids for a, b in zip(x, x[1:], strict=False) if a.isalpha()}
+        ends = "".join(re.escape(c) for c in sorted(ends) if not c.isalnum() and c not in "_" + BLANK)
+        word = rf"{BLANK}*[^\W\d_]++(?=[{ends}])|" if ends else ""
+        self.units = re.compile(f"{'[' + line + ']|' if line else ''}{word}{BLANK}*[^{BLANK}{line}]+|{BLANK}+")
         self.cut = re.compile(f"(?<=[^{BLANK}]){BLANK}" + (r"|\n|(?<=\n)[^\n]" if line else ""))
 
     @classmethod
@@ -109,34 +119,89 @@ class Vocabulary:
                     raise NotImplementedError("only identity normalizers with a dummy prefix")
         return cls(pieces, bpe)
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short text by merging the best pair until none is left; for pair rules."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.scores[i], k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None]
-            if not found:
-                break
-            k = min(found)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+    def merges(self, piece: int) -> list[tuple[float, int, int, int]] | None:
+        """How merging builds a piece from its characters: for each merge (minus score, place), and the lengths of the
+        first and the last part after it; None if merging does not end in the piece."""
+        known = self.built.get(piece, 0)
+        if known == 0:
+            parts, known = list(self.pieces[piece][0]), []
+            while len(parts) > 1:
+                at, found, place = 0, [], []
+                for k in range(len(parts) - 1):
+                    if (i := self.ids.get(parts[k] + parts[k + 1])) is not None:
+                        found.append((-self.scores[i], at, k))
+                    at += len(parts[k])
+                if not found:
+                    break
+                rank, place, k = min(found)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                known.append((rank, place, len(parts[0]), len(parts[-1])))
+            known = known if len(parts) == 1 else None
+            self.built[piece] = known
+        return known
 
     def may_follow(self, last: int, piece: int) -> bool:
-        if not self.bpe or (last == UNKNOWN and piece == UNKNOWN):
+        if not self.bpe or (last < 0 and piece < 0):
             return True
         key = (last << 20) + piece
         known = self.follows.get(key)
         if known is None:
-            if last < 0 or piece < 0:
-                text = self.pieces[max(last, piece)][0]
-                known = self.merged(text) == [text]
-            else:
-                a, b = self.pieces[last][0], self.pieces[piece][0]
-                known = self.merged(a + b) == [a, b]
-            if len(self.follows) > 4 * CACHE_UNITS:
+            known = self.stay_apart(last, piece)
+            if len(self.follows) >= 2 * CACHE_UNITS:
                 self.follows.clear()
             self.follows[key] = known
         return known
 
+    def stay_apart(self, last: int, piece: int) -> bool:
+        """Whether merging the joint text of two pieces builds these two: their own merges run in order of score, then
+        place, and no merge across the border may come first."""
+        if last < 0 or piece < 0:
+            return self.merges(max(last, piece)) is not None
+        left, right = self.merges(last), self.merges(piece)
+        if left is None or right is None:
+            return False
+        a, b = self.pieces[last][0], self.pieces[piece][0]
+        end, start, n, never = 1, 1, len(a), (float("inf"), 0)
+        i = j = 0
+        while True:
+            across = self.ids.get(a[n - end :] + b[:start])
+            mine = left[i][:2] if i < len(left) else never
+            theirs = (right[j][0], right[j][1] + n) if j < len(right) else never
+            if across is not None and (-self.scores[across], n - end) < min(mine, theirs):
+                return False
+            if mine is never and theirs is never:
+                return True
+            if mine < theirs:
+                end, i = left[i][3], i + 1
+            else:
+                start, j = right[j][2], j + 1
+
+    def short(self, s: str) -> list[int]:
+        """BPE ids of a short unit.  Each prefix has one last piece; only prefixes on the way back are looked at."""
+        ids, longest, ok = self.ids, self.longest, self.may_follow
+        seen: dict[int, tuple[int, int]] = {0: (START, 0)}
+
+        def last(p: int) -> int:
+            if p not in seen:
+                for q in range(max(0, p - longest), p):
+                    i = ids.get(s[q:p])
+                    if i is None:
+                        if q < p - 1:
+                            continue
+                        i = UNKNOWN
+                    if ok(last(q), i):
+                        break
+                seen[p] = (i, q)
+            return seen[p][0]
+
+        p, out = len(s), []
+        while p:
+            i = last(p)
+            q = seen[p][1]
+            out += self.spell(s, q, i)[::-1]
+            p = q
+        return out[::-1]
+
     def paths(self, s: str, start: int, last: int, stop: int):
         """Best path from ``start`` to each position up to ``stop``: its score, last piece and where that begins.
         ``last`` is the piece before ``start`` (START at the beginning of a unit or text)."""
@@ -205,25 +270,26 @@ def unpack(state: int) -> tuple[int, int]:
     return state >> 32, (state & 0xFFFFFFFF) - 1
 
 
-class Encoder:
+class Encoder(dict):
+    """Ids of units as bytes, computed when first asked for."""
+
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
-        self.cache: dict[str, bytes] = {}
-
-    def unit(self, text: str) -> bytes:
-        got = self.cache.get(text)
-        if got is None:
-            if len(self.cache) >= CACHE_UNITS:
-                self.cache.clear()
-            got = np.asarray(self.v.trace(text, 0, START, len(text)), np.int32).tobytes()
-            if len(text) <= 64:
-                self.cache[text] = got
+
+    def __missing__(self, text: str) -> bytes:
+        short = len(text) <= CACHED_LENGTH
+        got = array("i", self.v.short(text) if short and self.v.bpe else self.v.trace(text, 0, START, len(text))).tobytes()
+        if short:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[text] = got
         return got
 
     def whole(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return b"".join(map(self.unit, self.v.units.findall(BLANK + text.replace(" ", BLANK))))
+        return b"".join(map(self.__getitem__, self.v.units.findall(BLANK + text.replace(" ", BLANK))))
 
     def ends(self, left: str, body: str) -> tuple[int, int] | None:
         """First and last place in the chunk that no piece spans."""
@@ -278,7 +344,7 @@ class Encoder:
         if ends is None or stop < ends[1] or at > ends[0]:
             return ints(v.trace(s, at, piece, stop) + closing)
         first, last = ends
-        middle = b"".join(map(self.unit, v.units.findall(body[first:last])))
+        middle = b"".join(map(self.__getitem__, v.units.findall(body[first:last])))
         return ints(v.trace(s, at, piece, first)) + middle + ints(v.trace(s, last, START, stop) + closing)
 
 
@@ -333,6 +399,12 @@ def ids_array(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
+def small_batches(batches, rows: int = ROWS):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -350,7 +422,7 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
 
     def encode(batches):
         code = encoder(model)
-        for batch in batches:
+        for batch in small_batches(batches):
             parts = [code.whole(x) for x in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, ids_array(parts)], [*batch.schema.names, ids])
 
@@ -360,14 +432,14 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
         return short
 
     def cut(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 8):
             for row, x in zip(batch["__row"].to_pylist(), batch[text].to_pylist(), strict=True):
                 rows = list(split(x, longest, chunk))
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.string()) for i in range(4))], ["__row", "__chunk", "left", "body", "right"])
 
     def transfer(batches):
         code = encoder(model)
-        for batch in batches:
+        for batch in small_batches(batches, 8):
             rows = [code.matrix(x["left"], x["body"], x["right"]) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"], pa.array([[k[0] for k in m] for m in rows], pa.list_(pa.int64())), pa.array([[k[1] for k in m] for m in rows], pa.list_(pa.int64())), pa.array([list(m.values()) for m in rows], pa.list_(pa.float64()))], ["__row", "__chunk", "entries", "exits", "weights"])
 
@@ -378,7 +450,7 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
 
     def backtrace(batches):
         code = encoder(model)
-        for batch in batches:
+        for batch in small_batches(batches, 8):
             parts = [code.chunk(x["left"], x["body"], x["right"], x["entry"], x["leaving"]) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"], ids_array(parts)], ["__row", "__chunk", "ids"])
 
@@ -398,7 +470,7 @@ def sentencepiece_decode(df: DataFrame, model: str, ids: str = "ids", text: str
         pieces = encoder(model).v.pieces
         spelled = np.empty(len(pieces), object)
         spelled[:] = [bytes([int(x[3:5], 16)]) if kind == "byte" else b"" if kind == "control" else b" \xe2\x81\x87 " if kind == "unknown" else x.replace(BLANK, " ").encode() for x, _, kind in pieces]
-        for batch in batches:
+        for batch in small_batches(batches):
             column = batch[ids]
             flat, at = column.flatten().to_numpy(zero_copy_only=False), 0
             out = []
