@@ -1,0 +1 @@
+"""Interval similarity search on Spark: box joins, ranking, quantizers and hashing over vector tables."""

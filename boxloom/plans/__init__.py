@@ -1,0 +1 @@
+"""Queries of the vector engine with their SQL."""
