@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, stored, table
 
 SPAN, NEED, SHORTEST = 13, 11, 5
-#: Kept positions of each mask.
-MASKS = [[k for k in range(SPAN) if k % 4 in kept] for kept in combinations(range(4), 2)]
+#: Classes of positions; a mask keeps two of them and ignores the others.
+CLASSES = [[k for k in range(SPAN) if k % 4 == c] for c in range(4)]
+MASKS = list(combinations(range(4), 2))
 
 
 def token_hashes(text: str) -> Column:
@@ -33,20 +34,29 @@ def token_hashes(text: str) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def with_seeds(rows: DataFrame, span: int, masks: list[list[int]]) -> DataFrame:
-    """One row per window of ``tokens`` and mask: its place, its tokens and the masked hash."""
+def with_seeds(rows: DataFrame, span: int, classes: list[list[int]], masks: list[tuple[int, ...]]) -> DataFrame:
+    """One row per window of ``tokens`` and mask: its place, its tokens and the masked hash.  Each class of positions is
+    hashed once; the expressions stay small, so that the generated code of a stage is compiled."""
     places = F.when(F.size("tokens") >= span, F.sequence(F.lit(0), F.size("tokens") - span))
     placed = rows.select("*", F.explode(places).alias("place"))
     token = lambda k: F.get("tokens", F.col("place") + k)
-    hashes = F.array(*[F.xxhash64(F.lit(n), *[token(k) for k in mask]) for n, mask in enumerate(masks)])
-    return placed.withColumn("seed", F.explode(hashes)).withColumn("window", F.slice("tokens", F.col("place") + 1, span)).drop("tokens")
+    classed = placed.withColumns({f"class_{c}": F.xxhash64(F.lit(c), *map(token, of)) for c, of in enumerate(classes)})
+    hashes = F.array(*[F.xxhash64(F.lit(n), *[f"class_{c}" for c in mask]) for n, mask in enumerate(masks)])
+    seeded = classed.withColumn("seed", F.explode(hashes)).withColumn("window", F.slice("tokens", F.col("place") + 1, span))
+    return seeded.drop("tokens", *[f"class_{c}" for c in range(len(classes))])
 
 
-def hits(docs: DataFrame, items: DataFrame, span: int, need: int, masks: list[list[int]]) -> DataFrame:
-    theirs = with_seeds(items, span, masks).select("seed", "item_id", F.col("window").alias("item_window")).distinct()
-    found = with_seeds(docs, span, masks).join(broadcast_if_small(stored(theirs, "benchmark-seeds")), "seed")
-    same = sum(((F.get("window", F.lit(k)) == F.get("item_window", F.lit(k))).cast("int") for k in range(span)), F.lit(0))
-    return found.select("key", "text_hash", "item_id", "place", F.lit(span).alias("span"), same.alias("same")).where(F.col("same") >= need)
+def hits(docs: DataFrame, items: DataFrame, span: int, need: int, classes: list[list[int]], masks: list[tuple[int, ...]]) -> DataFrame:
+    """Best window of each document and item that share a seed, with the first and last token of the windows that
+    suffice.  Windows are compared by a lambda above the join: as a join condition it would take the join, which all
+    seeds of all documents pass, out of compiled code."""
+    theirs = with_seeds(items, span, classes, masks).select("seed", "item_id", F.col("window").alias("item_window")).distinct()
+    found = with_seeds(docs, span, classes, masks).join(broadcast_if_small(stored(theirs, "benchmark-seeds")), "seed")
+    same = F.size(F.filter(F.zip_with("window", "item_window", lambda a, b: a == b), lambda v: v))
+    compared = found.select("key", "text_hash", "item_id", "place", same.alias("same"))
+    enough = lambda v: F.when(F.col("same") >= need, v)
+    best = compared.groupBy("key", "text_hash", "item_id").agg(F.min(enough(F.col("place"))).alias("first_token"), F.max(enough(F.col("place") + (span - 1))).alias("last_token"), F.max("same").alias("most_same"))
+    return best.where(F.col("most_same") >= need)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -56,10 +66,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     items = stored(benchmark.select(F.col(item).alias("item_id"), token_hashes(item_text).alias("tokens")), "benchmark-tokens")
     n = F.size("tokens")
     lengths = sorted(r[0] for r in items.where((n >= SHORTEST) & (n < SPAN)).select(n).distinct().collect())  # at most SPAN - SHORTEST numbers
-    found = hits(tokens, items, SPAN, NEED, MASKS)
+    found = hits(tokens, items, SPAN, NEED, CLASSES, MASKS)
     for length in lengths:
-        found = found.unionByName(hits(tokens, items.where(n == length), length, length, [list(range(length))]))
-    return found.groupBy("key", "text_hash", "item_id").agg(F.min("place").alias("first_token"), F.max(F.col("place") + F.col("span") - 1).alias("last_token"), F.max("same").alias("most_same"))
+        found = found.unionByName(hits(tokens, items.where(n == length), length, length, [list(range(length))], [(0,)]))
+    if not lengths:
+        return found
+    return found.groupBy("key", "text_hash", "item_id").agg(F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.max("most_same").alias("most_same"))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
