@@ -9,11 +9,14 @@ against the number of candidates expected from empty segments, given the band's
 (budget 2: hold one shingle at most) in both sets are no evidence; schemes have a slack Z for them, and a set with more
 such budget than Z also emits the empty contents, which only meet those of other such sets.
 
-No pair list of a group is made at once.  Each signature's sets are compared with one of them, the leader; links are
-contracted to components.  Signatures whose sets then lie in several components are refined: similar sets also
-share one of their rarest shingles (the first n - ceil(t n) + 1 by frequency), so only sets that share such a shingle
-remain, and of them only pairs of different components are compared, in blocks of leaders, until none is left.  The
-components are therefore those of the full join.  Every comparison is on whole sets.
+No pair list of a group is made.  Each signature's sets are compared with one of them, the leader: the set with the most
+company over all its signatures, which for a family of copies is the one they come from.  Links are contracted to
+components.  The sets of a leader that then lie in several components are refined.  A set can only link across components if a
+share t of its shingles also occurs in sets of other components, which a count of shingles decides for all at once.
+The sets that remain are dealt to tasks in pairs of blocks, which are compared by products of presence matrices;
+pairs inside a component are skipped, and each set yields at most one link to each component it meets.  Every two
+similar sets share a signature and so a leader, and are either in one component or compared: the components are those of
+the full join.
 
 Sets are identified by 64-bit hashes of their shingles' 64-bit hashes.
 
@@ -38,8 +41,10 @@ from .common import broadcast_if_small, stored, table
 
 #: Defaults of near-duplicate operators: five words, similarity 0.8.
 WORDS, THRESHOLD = 5, Fraction(4, 5)
-#: Leaders of a shared shingle that are compared in the first refinement; each further one takes four times as many.
-LEADERS = 16
+#: Blocks of the refinement hold so many sets and shingles at most (one set at least).
+BLOCK_SETS, BLOCK_SHINGLES = 2_048, 1 << 21
+#: Sets and shingles in a factor of a matrix product.
+ROWS, COLUMNS = 256, 4_096
 #: Odd constants of the 64-bit mixing function (fixed values).
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0x5851F42D4C957F2D)
@@ -194,11 +199,20 @@ class Joiner:
 
         return self.docs.select("text").mapInArrow(run, "signature long, set long")
 
-    def members(self) -> DataFrame:
-        """Rows (signature, leader, set) for each set but the leader of a signature that several sets share."""
+    def shared(self) -> DataFrame:
+        """Rows (signature, set), each once, of signatures that several sets have."""
         order = Window.partitionBy("signature").orderBy("set")
-        led = self.emitted().select("*", F.first("set").over(order).alias("leader"), F.lag("set").over(order).alias("before"))
-        return stored(led.where("set <> leader and set <> before").select("signature", "leader", "set"), "shared-signatures")
+        ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = self.emitted().select("*", F.first("set").over(ends).alias("first"), F.last("set").over(ends).alias("last"), F.lag("set").over(order).alias("before"))
+        return stored(rows.where((F.col("first") != F.col("last")) & (F.col("before").isNull() | (F.col("before") != F.col("set")))).select("signature", "set"), "shared-signatures")
+
+    def led(self) -> DataFrame:
+        """Distinct pairs (a, b) of a leader and another set of its signatures."""
+        rows = self.shared()
+        sizes = rows.groupBy("signature").agg(F.count("*").alias("size"))
+        company = rows.join(sizes, "signature").groupBy("set").agg(F.sum("size").alias("company"))
+        leaders = rows.join(company, "set").groupBy("signature").agg(F.max(F.struct("company", "set")).alias("top")).select("signature", F.col("top.set").alias("a"))
+        return stored(rows.join(leaders, "signature").where("set <> a").select("a", F.col("set").alias("b")).distinct(), "leader-pairs")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(set, n, shingles) of each set in ``wanted``, from one document of each."""
@@ -231,47 +245,93 @@ class Joiner:
 
     def components(self) -> DataFrame:
         """(set, root) of each set that links with another."""
-        members = self.members()
-        pairs = stored(members.select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct(), "leader-pairs")
+        pairs = self.led()
         wanted = stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted-sets")
         sets = self.sets(wanted)
         links = stored(self.linked(pairs, sets), "links")
         roots = contract(links)
-        all_members = members.select("signature", "set").union(members.select("signature", F.col("leader").alias("set"))).distinct()
-        placed = with_roots(all_members, roots)
-        several = placed.groupBy("signature").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("signature")
-        unsettled = stored(placed.join(several, "signature", "left_semi").select("set").distinct(), "unsettled-sets")
-        if unsettled.isEmpty():
-            return roots
-        groups = self.rarest(sets.join(broadcast_if_small(unsettled), "set", "left_semi"))
-        first, many = 1, LEADERS
-        while True:
-            placed = with_roots(groups, roots)
-            several = placed.groupBy("shingle").agg((F.min("root") != F.max("root")).alias("several"), F.max("place").alias("last")).where(F.col("several") & (F.col("last") > first)).select("shingle")
-            left = stored(placed.join(several, "shingle", "left_semi"), "unsettled-members")
-            leaders = left.where(F.col("place").between(first, first + many - 1))
-            against = left.select("shingle", F.col("set").alias("b"), F.col("place").alias("place_b"), F.col("root").alias("root_b"))
-            met = leaders.join(against, "shingle").where((F.col("place_b") > F.col("place")) & (F.col("root") != F.col("root_b")))
-            new = stored(met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct(), "block-pairs")
-            if left.isEmpty():
-                return roots
-            more = stored(self.linked(new, sets), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                roots = contract(links)
-            first, many, groups = first + many, many * 4, left.drop("root")
-
-    def rarest(self, sets: DataFrame) -> DataFrame:
-        """(shingle, set, place): the rarest shingles of each set, of which two similar sets share one, and the set's
-        place among those of the shingle."""
+        groups = pairs.select(F.col("a").alias("leader"), F.col("b").alias("set")).union(pairs.select("a", "a").distinct())
+        placed = with_roots(groups, roots)
+        several = placed.groupBy("leader").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("leader")
+        left = stored(placed.join(broadcast_if_small(stored(several, "open-leaders")), "leader", "left_semi"), "open-groups")
+        for _ in range(2):  # sets that go may leave others without company
+            left = self.supported(left, sets)
+        more = stored(self.compared(left, sets), "links")
+        return roots if more.isEmpty() else contract(links.union(more))
+
+    def supported(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """The rows (leader, set, root) whose sets have at least a share t of their shingles in sets of other components too."""
         num, den = self.t.numerator, self.t.denominator
-        rows = sets.select("set", "n", F.explode("shingles").alias("shingle"))
-        counts = rows.groupBy("shingle").agg(F.count("*").alias("times"))
-        rank = F.row_number().over(Window.partitionBy("set").orderBy("times", "shingle"))
-        prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
-        rare = rows.join(counts.where("times > 1"), "shingle", "left").withColumn("times", F.coalesce("times", F.lit(1))).withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("times") > 1))
-        place = F.row_number().over(Window.partitionBy("shingle").orderBy("set"))
-        return stored(rare.select("shingle", "set", place.alias("place")), "rarest-shingles")
+        named = stored(groups.select("set", "root").distinct(), "open-sets")
+        rows = sets.join(broadcast_if_small(named), "set").select("set", "root", "n", F.explode("shingles").alias("shingle"))
+        across = rows.groupBy("shingle").agg((F.min("root") != F.max("root")).alias("across")).where("across").select("shingle")
+        company = rows.join(across, "shingle", "left_semi").groupBy("set").agg(F.count("*").alias("company"), F.first("n").alias("n"))
+        able = stored(company.where(F.col("company") * den >= F.col("n") * num).select("set", "n"), "able-sets")
+        return stored(groups.drop("n").join(broadcast_if_small(able), "set"), "open-groups")
+
+    def compared(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) between sets of a leader that lie in different components."""
+        t = self.t
+        place = F.row_number().over(Window.partitionBy("leader").orderBy("root", "set")) - 1
+        sizes = groups.groupBy("leader").agg(F.count("*").alias("members"), F.max("n").alias("most"))
+        block = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
+        dealt = groups.withColumn("place", place).join(sizes.withColumn("block", block), "leader")
+        dealt = dealt.withColumns({"own": F.floor(F.col("place") / F.col("block")), "blocks": F.ceil(F.col("members") / F.col("block"))})
+        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+        placed = dealt.withColumn("pair", F.explode(others)).select("leader", "pair.i", "pair.j", "own", "set", "root")
+        placed = placed.join(sets.select("set", "shingles"), "set")
+
+        def run(table: pa.Table) -> pa.Table:
+            own, at = table["own"].to_numpy(), table["i"][0].as_py()
+            ids, roots = table["set"].to_numpy(), table["root"].to_numpy()
+            column = table["shingles"].combine_chunks()
+            lengths = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_numpy()
+            found = block_links(ids, roots, np.repeat(np.arange(len(ids)), lengths), flat, lengths, own == at, own == table["j"][0].as_py(), t)
+            return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+        return placed.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def block_links(ids, roots, row, shingle, size, left, right, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the sets of two blocks (which may be one) that lie in different components; ``row`` and ``shingle``
+    list the sets' shingles.  Each set gives at most one link to each component."""
+    if len(np.unique(roots)) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = [], []
+    names, code = np.unique(shingle, return_inverse=True)
+    often = np.bincount(code, minlength=len(names)) > 1  # a shingle of one set is in no intersection
+    keep = often[code]
+    column = (np.cumsum(often) - 1)[code[keep]]
+    row, width = row[keep], int(often.sum())
+    starts = np.searchsorted(row, np.arange(len(ids) + 1))  # rows are in order
+    num, den = t.numerator, t.denominator
+
+    def matrix(rows: np.ndarray, first: int) -> np.ndarray:
+        out = np.zeros((len(rows), min(COLUMNS, width - first)), np.float32)
+        for k, r in enumerate(rows):
+            at = column[starts[r] : starts[r + 1]]
+            out[k, at[(at >= first) & (at < first + COLUMNS)] - first] = 1
+        return out
+
+    lefts, rights = np.flatnonzero(left), np.flatnonzero(right)
+    for i in range(0, len(lefts), ROWS):
+        x = lefts[i : i + ROWS]
+        for j in range(0, len(rights), ROWS):
+            y = rights[j : j + ROWS]
+            if len(np.unique(roots[np.concatenate([x, y])])) < 2:
+                continue
+            common = np.zeros((len(x), len(y)), np.int64)
+            for first in range(0, width, COLUMNS):
+                common += np.rint(matrix(x, first) @ matrix(y, first).T).astype(np.int64)
+            both = size[x][:, None] + size[y][None, :] - common
+            hit = (common * den >= both * num) & (roots[x][:, None] != roots[y][None, :])
+            p, q = np.nonzero(hit)
+            if len(p):
+                _, one = np.unique(np.stack([p, np.unique(roots[y[q]], return_inverse=True)[1]]), axis=1, return_index=True)
+                a.append(ids[x[p[one]]])
+                b.append(ids[y[q[one]]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
