@@ -32,7 +32,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕ
 #: Words of a plain text that are added to each text, and their mean length.
 PRIOR, PRIOR_LENGTH = 100.0, 5.0
 #: Statistics with the smallest standard deviation that counts.
-FLOORS = {"log_words": 0.25, "word_length": 0.15, "symbols": 0.05, "dup_lines": 0.10, "repeats": 0.08, "capitals": 0.05, "punctuation": 0.05}
+FLOORS = {"log_words": 0.25, "word_length": 0.15, "symbols": 0.03, "dup_lines": 0.10, "repeats": 0.10, "capitals": 0.05, "punctuation": 0.05}
 NAMES = list(FLOORS)
 SHARE, STEPS, LEAST = 0.75, 4, 500
 #: Median, and quantile at 1 - 1e-6, of the chi-square law with seven degrees of freedom.
@@ -177,13 +177,16 @@ def fitted(rows: DataFrame) -> DataFrame:
 def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The columns ``keep`` of each row, the base counts, base_failed, distance and kept."""
     names = [c for c in keep if c not in (*COUNTS, "base_failed", "distance", "kept")]
-    counted = with_vector(with_counts(df.select(*{c: None for c in (*names, text, lang, source)}), text))
-    rows = stored(counted.select(*names, F.col(lang).alias("__lang"), F.col(source).alias("__source"), *COUNTS, *NAMES, base_failed().alias("base_failed")), "statistics")
+    kept = F.struct(*names) if names else F.lit(None).cast("struct<x:int>")  # out of reach of the names used here
+    plain = df.select(kept.alias("__kept"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), F.col(source).alias("__source"))
+    counted = with_vector(with_counts(plain, "__text"))
+    rows = stored(counted.select("__kept", "__lang", "__source", *COUNTS, *NAMES, base_failed().alias("base_failed")), "statistics")
     rows = with_stratum(rows, "__lang", "__source")
     fit = fitted(rows.where("not base_failed and stratum is not null").select("stratum", *NAMES))
     judged = with_distance(rows, fit.drop("scale")).join(broadcast_if_small(fit.select("stratum", "scale")), "stratum", "left")
     distance = F.col("d2") * F.col("scale")
-    return judged.select(*names, *[F.col(c).cast("long").alias(c) for c in COUNTS], "base_failed", distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))
+    out = [F.col(f"__kept.`{c}`").alias(c) for c in names]
+    return judged.select(*out, *[F.col(c).cast("long").alias(c) for c in COUNTS], "base_failed", distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))
 
 
 def op10_quality_rules(spark, sf_dir) -> DataFrame:

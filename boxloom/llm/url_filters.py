@@ -100,9 +100,9 @@ def filter_by_join(parsed: DataFrame, rules: list[tuple[str, str]], default: str
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = parsed.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).join(listed, "suffix").where(F.col("path").startswith(F.col("start")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule")).alias("__best"))
     joined = parsed.join(best, ["host", "path"], "left")
-    return joined.select(*parsed.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return joined.select(*parsed.columns, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filters(spark, sf_dir) -> DataFrame:
