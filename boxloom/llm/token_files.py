@@ -93,7 +93,8 @@ def text_encoder(path: str) -> TextEncoder:
 
 
 class SequenceWriter:
-    """Cuts a stream of ids into sequences and writes them in batches; holds less than a batch."""
+    """Cuts a stream of ids into sequences and writes them in batches of ``SEQUENCES``, so that a sequence's batch follows
+    from its number; only a file's last batch may be smaller.  Holds less than a batch."""
 
     def __init__(self, out, dtype: np.dtype, length: int):
         self.length, self.dtype = length, dtype
@@ -107,7 +108,7 @@ class SequenceWriter:
         self.n_held += len(ids) // self.dtype.itemsize
         self.total += len(ids) // self.dtype.itemsize
         if self.n_held >= self.length * SEQUENCES:
-            self.flush(self.n_held // self.length)
+            self.flush(self.n_held // (self.length * SEQUENCES) * SEQUENCES)
 
     def flush(self, sequences: int) -> None:
         flat = np.frombuffer(b"".join(self.held), self.dtype)
