@@ -31,8 +31,8 @@ def theta_join(base: DataFrame, queries: DataFrame, condition: Callable[[], Colu
     if count <= limit:
         return base.join(F.broadcast(queries), condition())
     blocks = -(-queries.count() // limit)
-    left = base.withColumn("__b", F.pmod(F.xxhash64("vec_id"), F.lit(BASE_BLOCKS))).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("__q", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASE_BLOCKS - 1).cast("long"))))
+    left = base.withColumn("__b", F.pmod(F.xxhash64(*base.columns), F.lit(BASE_BLOCKS))).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = queries.withColumn("__q", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASE_BLOCKS - 1).cast("long"))))
     return left.join(right, ["__b", "__q"]).where(condition()).drop("__b", "__q")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as D
 from ..functions.hashing import E2Lsh, SignHash
 from ..functions.vectors import dims
+from .joins import theta_join
 
 
 def hash_rows(rows: DataFrame, of: Callable[[int], Column], tables: int, key: str, extra: list[str] = ()) -> DataFrame:
@@ -66,7 +67,7 @@ def ranked_probe(base: DataFrame, queries: DataFrame, lsh: E2Lsh, items: int) ->
     buckets = hashed.groupBy("hash").agg(F.count("*").alias("n"))
     keys = queries.select("qid", lsh.hash_truncated(F.col("q")).alias("key"))
     order = Window.partitionBy("qid").orderBy("dist", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = buckets.join(F.broadcast(keys)).withColumn("dist", D.l1(F.col("hash"), F.col("key")))
+    pairs = theta_join(buckets, keys, lambda: F.lit(True)).withColumn("dist", D.l1(F.col("hash"), F.col("key")))
     taken = pairs.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < items)
     return taken.select("qid", "hash").join(hashed, "hash").select("qid", "vec_id")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from .joins import theta_join
 from .quantize import Codebook, adc
 from .ranking import running_before
 
@@ -71,8 +72,8 @@ def code_possible(code: Column, may: Column, parts: int) -> Column:
 
 def pq_filtered(codes: DataFrame, queries: DataFrame, reach: DataFrame, parts: int) -> DataFrame:
     """Pairs of queries and base rows whose codes are all possible: what the boxes do not rule out."""
-    side = F.broadcast(queries.join(possible(reach, parts), "qid"))  # of the stated query set
-    return codes.join(side, code_possible(F.col("code"), F.col("may"), parts))
+    side = queries.join(possible(reach, parts), "qid")
+    return theta_join(codes, side, lambda: code_possible(F.col("code"), F.col("may"), parts))
 
 
 def cells(codes: DataFrame) -> DataFrame:

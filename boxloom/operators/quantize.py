@@ -10,11 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions.vectors import let, literal, norm, normalized, split_dims
+from .stats import quantiles
 
 DIGITS = 9
 POWERS = (1, 2, 3, 4, 6, 8, 16)
@@ -190,10 +192,17 @@ def rotated(x: Column, rotation: np.ndarray) -> Column:
 
 
 def cross_moments(rows: DataFrame, a: str, b: str, d: int) -> np.ndarray:
-    """The d x d matrix of sums of products; d * d sums are formed in the tasks."""
-    flat = F.flatten(F.transform(F.col(a), lambda u: F.transform(F.col(b), lambda v: u.cast("double") * v.cast("double"))))
+    """The d x d matrix of sums of products: a matrix product for each batch of rows, summed in Spark."""
+
+    def products(batches):
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (np.asarray(batch[c].flatten(), np.float64).reshape(-1, d) for c in ("a", "b"))
+                yield pa.RecordBatch.from_arrays([pa.array([(left.T @ right).ravel().tolist()], pa.list_(pa.float64()))], ["m"])
+
+    parts = rows.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(products, "m array<double>")
     out = np.zeros(d * d)
-    for r in rows.select(F.posexplode(flat).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect():  # d * d rows
+    for r in parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect():  # d * d rows
         out[r["i"]] = r["s"]
     return out.reshape(d, d)
 
@@ -232,6 +241,12 @@ class OPQ:
         return let(self.encode(x), self.decode)
 
 
+def quantile_values(norms: DataFrame, shares: list[float]) -> list[float]:
+    """Quantiles of the column ``n``."""
+    rows = quantiles(norms.select(F.lit(0).alias("i"), F.col("n").alias("v")), shares)
+    return [r["value"] for r in rows.orderBy("share").collect()]  # a row per share
+
+
 @dataclass
 class NEQ:
     """Norm-explicit quantizer: the direction by an inner quantizer, the (corrected) norm by ``ks`` levels.
@@ -255,10 +270,10 @@ class NEQ:
         if self.method == "kmeans":
             self.levels = self._kmeans(norms, self.ks, steps)
         elif self.method == "kmeans_partial":
-            cut = norms.agg(F.percentile("n", F.lit(0.7))).first()[0]
+            cut = quantile_values(norms, [0.7])[0]
             self.levels = self._kmeans(norms.where(F.col("n") <= cut), self.ks // 2, steps) + self._kmeans(norms.where(F.col("n") > cut), self.ks // 2, steps)
         elif self.method == "percentile":
-            self.levels = norms.agg(F.percentile("n", F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, self.ks + 1)]))).first()[0]
+            self.levels = quantile_values(norms, np.linspace(0, 1, self.ks + 1).tolist())
         elif self.method in ("uniform", "exponential"):
             lo, hi = norms.agg(F.min("n"), F.max("n")).first()
             share = np.linspace(0, 1, self.ks + 1) if self.method == "uniform" else (1 - self.ratio ** np.arange(self.ks + 1)) / (1 - self.ratio**self.ks)
@@ -269,7 +284,7 @@ class NEQ:
 
     @staticmethod
     def _kmeans(norms: DataFrame, ks: int, steps: int) -> list[float]:
-        levels = norms.agg(F.percentile("n", F.array(*[F.lit((k + 0.5) / ks) for k in range(ks)]))).first()[0]
+        levels = quantile_values(norms, [(k + 0.5) / ks for k in range(ks)])
         for _ in range(steps):
             near = F.array_min(F.transform(literal(levels, "array<double>"), lambda c, k: F.struct(F.abs(c - F.col("n")).alias("dist"), k.alias("k"))))["k"]
             for r in norms.groupBy(near.alias("k")).agg(F.avg("n").alias("m")).collect():  # ks rows

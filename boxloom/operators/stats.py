@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import literal, norm
@@ -35,10 +35,38 @@ def largest(base: DataFrame, d: int) -> np.ndarray:
     return vector_of(per_dim(base, F.max(F.abs(F.col("v").cast("double"))).alias("m")), "m", d)
 
 
+BINS = 4_096
+
+
+def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """(i, share, value): exact quantiles of ``v`` for each ``i``, interpolated linearly between neighbours.
+
+    A histogram of ``BINS`` bins for each ``i`` tells which bins hold the wanted ranks; only the values in these are
+    counted and ordered, so no state holds all values of a group."""
+    ends = rows.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    width = F.col("hi") - F.col("lo")
+    at = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / width * BINS))).otherwise(F.lit(0)).cast("int")
+    binned = rows.join(F.broadcast(ends), "i").select("i", "v", at.alias("bin"))  # ends: a row per i
+    before = Window.partitionBy("i").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = binned.groupBy("i", "bin").agg(F.count("*").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    share = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
+    wanted = ends.select("i", "n", share.alias("share")).withColumn("rank", F.col("share") * (F.col("n") - 1))
+    ranks = wanted.select("i", "share", "rank", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("place")).distinct()
+    bins = starts.join(ranks, "i").where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("size")))
+    held = binned.join(F.broadcast(bins.select("i", "bin", "start").distinct()), ["i", "bin"])  # a row per i, share and rank
+    upto = Window.partitionBy("i", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = held.groupBy("i", "bin", "start", "v").agg(F.count("*").alias("times"))
+    values = values.withColumn("first", F.col("start") + F.coalesce(F.sum("times").over(upto), F.lit(0)))
+    near = values.join(ranks, "i").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("times")))
+    low, high = F.min("v"), F.max("v")
+    return near.groupBy("i", "share").agg((low + (high - low) * F.first(F.col("rank") - F.floor("rank"))).alias("value"))
+
+
 def percentiles(base: DataFrame, at: float, absolute: bool = False) -> DataFrame:
-    """(i, value): exact percentile with linear interpolation."""
+    """(i, value): exact percentile of each dimension."""
     v = F.col("v").cast("double")
-    return per_dim(base, F.percentile(F.abs(v) if absolute else v, F.lit(at)).alias("value"))
+    rows = base.select(F.posexplode("x").alias("i", "v")).select("i", (F.abs(v) if absolute else v).alias("v"))
+    return quantiles(rows, [at]).select("i", "value")
 
 
 def shifted(x: Column, by: np.ndarray) -> Column:

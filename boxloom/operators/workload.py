@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..functions.vectors import literal
 from .joins import theta_join
 from .ranking import top_k
-from .stats import percentiles, vector_of
+from .stats import percentiles, quantiles, vector_of
 
 #: Factors of the noise: a number in [0, 1) that depends on query and dimension only (fixed values).
 NOISE_Q, NOISE_I, NOISE_MOD = 7919, 104729, 10007
@@ -63,12 +63,9 @@ def find_scale(base: DataFrame, queries: DataFrame, lower: int, upper: int, d: i
 
 def range_by_percent(values: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, width): percentile ``share`` of |x - q| over a table of numbers x, for queries (qid, q, share)."""
-    pairs = theta_join(values, queries, lambda: F.lit(True)).select("qid", "share", F.abs(F.col("x") - F.col("q")).alias("t"))
-    place = Window.partitionBy("qid").orderBy("t")
-    ranked = pairs.withColumns({"r": F.row_number().over(place) - 1, "n": F.count("*").over(Window.partitionBy("qid"))})
-    at = F.col("share") * (F.col("n") - 1)
-    low, high = F.max(F.when(F.col("r") == F.floor(at), F.col("t"))), F.max(F.when(F.col("r") == F.ceil(at), F.col("t")))
-    return ranked.groupBy("qid").agg((low + (high - low) * F.max(at - F.floor(at))).alias("width"))
+    pairs = theta_join(values, queries, lambda: F.lit(True)).select(F.col("qid").alias("i"), F.abs(F.col("x") - F.col("q")).alias("v"))
+    shares = [r[0] for r in queries.select("share").distinct().collect()]  # the selectivities of a workload are few
+    return quantiles(pairs, shares).join(queries.select(F.col("qid").alias("i"), "share"), ["i", "share"]).select(F.col("i").alias("qid"), F.col("value").alias("width"))
 
 
 def find_percent(mean_size: Callable[[float], float], target: float, tolerance: float = 0.05, most: int = 64) -> tuple[float, float]:

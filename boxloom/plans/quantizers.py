@@ -330,7 +330,7 @@ def neq(spark, sf):
     fixed.fit(unit, D, 0)
     model = Z.NEQ(8, fixed, "percentile")
     norms = base(spark, sf).select(F.round(model.corrected(F.col("x")), 9).alias("n"))
-    model.levels = norms.agg(F.percentile("n", F.array(*[F.lit(k / 8) for k in range(9)]))).first()[0]
+    model.levels = Z.quantile_values(norms, [k / 8 for k in range(9)])
     return model
 
 
