@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from .common import stored, table
 CHUNK = 65_536
 BLANK = "▁"
 #: Cached units of a worker; the cache is emptied when it is full, which changes no result.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 #: Texts in a batch of results.
 ROWS = 256
 #: Units up to this length are cached.
@@ -176,32 +177,6 @@ class Vocabulary:
             else:
                 start, j = right[j][2], j + 1
 
-    def short(self, s: str) -> list[int]:
-        """BPE ids of a short unit.  Each prefix has one last piece; only prefixes on the way back are looked at."""
-        ids, longest, ok = self.ids, self.longest, self.may_follow
-        seen: dict[int, tuple[int, int]] = {0: (START, 0)}
-
-        def last(p: int) -> int:
-            if p not in seen:
-                for q in range(max(0, p - longest), p):
-                    i = ids.get(s[q:p])
-                    if i is None:
-                        if q < p - 1:
-                            continue
-                        i = UNKNOWN
-                    if ok(last(q), i):
-                        break
-                seen[p] = (i, q)
-            return seen[p][0]
-
-        p, out = len(s), []
-        while p:
-            i = last(p)
-            q = seen[p][1]
-            out += self.spell(s, q, i)[::-1]
-            p = q
-        return out[::-1]
-
     def paths(self, s: str, start: int, last: int, stop: int):
         """Best path from ``start`` to each position up to ``stop``: its score, last piece and where that begins.
         ``last`` is the piece before ``start`` (START at the beginning of a unit or text)."""
@@ -271,19 +246,38 @@ def unpack(state: int) -> tuple[int, int]:
 
 
 class Encoder(dict):
-    """Ids of units as bytes, computed when first asked for."""
+    """Ids of units as bytes, computed when first asked for.  In a BPE model every prefix of a unit has one path, so the
+    path of a unit is that of a shorter prefix, itself kept, and one more piece."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
+        self.tails = {np.int32(i).tobytes(): i if kind == "normal" else UNKNOWN for i, (_, _, kind) in enumerate(vocabulary.pieces)}
+        self.heads = {i: data for data, i in self.tails.items() if i != UNKNOWN}
 
     def __missing__(self, text: str) -> bytes:
-        short = len(text) <= CACHED_LENGTH
-        got = array("i", self.v.short(text) if short and self.v.bpe else self.v.trace(text, 0, START, len(text))).tobytes()
-        if short:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[text] = got
+        v, n = self.v, len(text)
+        if not v.bpe or n > CACHED_LENGTH:
+            got = array("i", v.trace(text, 0, START, n)).tobytes()
+            if n > CACHED_LENGTH:
+                return got
+        else:
+            ids, follows = v.ids, v.follows
+            for q in range(max(0, n - v.longest), n):
+                i = ids.get(text[q:])
+                if i is None:
+                    if q < n - 1:
+                        continue
+                    i = UNKNOWN
+                before = self[text[:q]] if q else b""
+                last = self.tails[before[-4:]] if q else START
+                known = follows.get((last << 20) + i)
+                if v.may_follow(last, i) if known is None else known:
+                    break
+            got = before + (self.heads[i] if i >= 0 else array("i", v.spell(text, q, i)).tobytes())
+        if len(self) >= CACHE_UNITS:
+            self.clear()
+        self[text] = got
         return got
 
     def whole(self, text: str | None) -> bytes:
@@ -394,6 +388,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+@contextmanager
+def encoding(path: str):
+    """The encoder for a task; what it kept is dropped afterwards, as idle workers stay in memory."""
+    code = encoder(path)
+    try:
+        yield code
+    finally:
+        code.clear()
+        code.v.follows.clear()
+
+
 def ids_array(parts: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -421,10 +426,10 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
     out = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def encode(batches):
-        code = encoder(model)
-        for batch in small_batches(batches):
-            parts = [code.whole(x) for x in batch[text].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids_array(parts)], [*batch.schema.names, ids])
+        with encoding(model) as code:
+            for batch in small_batches(batches):
+                parts = [code.whole(x) for x in batch[text].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids_array(parts)], [*batch.schema.names, ids])
 
     short = df.where(~is_long).mapInArrow(encode, out)
     long = stored(df.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long-texts")
@@ -449,10 +454,10 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
         return pd.DataFrame({"__row": of["__row"].to_numpy(), "__chunk": of["__chunk"].to_numpy(), "entry": [a for a, _ in states], "leaving": [b for _, b in states]})
 
     def backtrace(batches):
-        code = encoder(model)
-        for batch in small_batches(batches, 8):
-            parts = [code.chunk(x["left"], x["body"], x["right"], x["entry"], x["leaving"]) for x in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"], ids_array(parts)], ["__row", "__chunk", "ids"])
+        with encoding(model) as code:
+            for batch in small_batches(batches, 8):
+                parts = [code.chunk(x["left"], x["body"], x["right"], x["entry"], x["leaving"]) for x in batch.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"], ids_array(parts)], ["__row", "__chunk", "ids"])
 
     chunks = long.select("__row", text).mapInArrow(cut, "__row long, __chunk int, left string, body string, right string").repartition("__row", "__chunk")
     matrices = chunks.mapInArrow(transfer, "__row long, __chunk int, entries array<long>, exits array<long>, weights array<double>")
