@@ -84,3 +84,25 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
 def op4_decontamination(spark, sf_dir) -> DataFrame:
     found = overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("key").alias("doc_id"), "item_id", "first_token", "last_token", "most_same")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+m AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+dt AS (SELECT doc_id, len(w) AS n, unnest(w) AS token, unnest(range(0, len(w))) AS p FROM d),
+mt AS (
+  SELECT item_id, len(w) AS n, least(13, len(w)) AS span, CASE WHEN len(w) >= 13 THEN 11 ELSE len(w) END AS need, unnest(w) AS token, unnest(range(0, len(w))) AS i
+  FROM m WHERE len(w) >= 5),
+same AS (
+  SELECT doc_id, item_id, p - i AS diagonal, p, dt.n AS n_doc, mt.n AS n_item, span, need
+  FROM dt JOIN mt ON dt.token = mt.token),
+enough AS (SELECT doc_id, item_id, diagonal FROM same GROUP BY doc_id, item_id, diagonal HAVING count(*) >= min(need)),
+held AS (SELECT same.* FROM same JOIN enough ON same.doc_id = enough.doc_id AND same.item_id = enough.item_id AND same.diagonal = enough.diagonal),
+windows AS (
+  SELECT doc_id, item_id, diagonal, span, need, p - k AS start, count(*) AS same
+  FROM held, (SELECT unnest(range(0, 13)) AS k) AS offsets
+  WHERE k < span AND p - k >= 0 AND p - k + span <= n_doc AND p - k - diagonal >= 0 AND p - k - diagonal + span <= n_item
+  GROUP BY doc_id, item_id, diagonal, span, need, p - k)
+SELECT doc_id, item_id, CAST(min(start) AS INTEGER) AS first_token, CAST(max(start + span - 1) AS INTEGER) AS last_token, CAST(max(same) AS INTEGER) AS most_same
+FROM windows WHERE same >= need GROUP BY doc_id, item_id
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-SQL = {"op2_url_filters": url_filters.OP2_SQL, "op7_warc": warc.OP7_SQL}
+SQL = {
+    "op2_url_filters": url_filters.OP2_SQL,
+    "op4_decontamination": decontamination.OP4_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
+    "op7_warc": warc.OP7_SQL,
+}

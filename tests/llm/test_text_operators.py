@@ -184,8 +184,9 @@ def edited(text, seed, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("k", "t"), [(4, Fraction(85, 100)), (5, Fraction(4, 5))])
-def test_jaccard_components_equal_brute_force(spark, k, t):
+@pytest.mark.parametrize(("k", "t", "block"), [(4, Fraction(85, 100), 2048), (5, Fraction(4, 5), 2048), (4, Fraction(85, 100), 16)])
+def test_jaccard_components_equal_brute_force(spark, monkeypatch, k, t, block):
+    monkeypatch.setattr(JJ, "BLOCK_SETS", block)  # 16: several blocks
     source, passage = prose(1, 150, 10**6), prose(2, 60, 10**6)
     rows = [(i, edited(source, i, 1 + i % 9)) for i in range(60)]  # copies on both sides of the threshold
     rows += [(100 + i, prose(i, 30) + " " + passage) for i in range(40)]  # one passage in unlike documents
