@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     found = con.sql(SQL[name])
     names = list(found.columns)
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, (float, np.integer)) else v
+    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, (float, np.integer)) else v
     want = sorted(str([plain(v) for v in row]) for row in found.df().astype(object).values.tolist())
     assert sorted(names) == sorted(df.columns)
     assert sorted(str([plain(v) for v in row]) for row in df.select(*names).collect()) == want
