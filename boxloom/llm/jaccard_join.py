@@ -11,12 +11,12 @@ such budget than Z also emits the empty contents, which only meet those of other
 
 No pair list of a group is made.  Each signature's sets are compared with one of them, the leader: the set with the most
 company over all its signatures, which for a family of copies is the one they come from.  Links are contracted to
-components.  The sets of a leader that then lie in several components are refined.  A set can only link across components if a
-share t of its shingles also occurs in sets of other components, which a count of shingles decides for all at once.
-The sets that remain are dealt to tasks in pairs of blocks, which are compared by products of presence matrices;
-pairs inside a component are skipped, and each set yields at most one link to each component it meets.  Every two
-similar sets share a signature and so a leader, and are either in one component or compared: the components are those of
-the full join.
+components.  The sets of a leader that then lie in several components are refined: they are dealt to tasks in pairs of
+blocks.  In a task, sets without a share t of their shingles in sets of other components go, again and again; the others
+are compared by products of presence matrices, except inside a component, and each set yields at most one link to each
+component it meets.  Where a leader has more than one block, the same filter first runs over all its sets at once.
+Every two similar sets share a signature and so a leader, and are either in one component or compared: the components
+are those of the full join.
 
 Sets are identified by 64-bit hashes of their shingles' 64-bit hashes.
 
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, table
+from .common import bound_batches, broadcast_if_small, release, stored, table
 
 #: Defaults of near-duplicate operators: five words, similarity 0.8.
 WORDS, THRESHOLD = 5, Fraction(4, 5)
@@ -146,6 +146,7 @@ def signatures(hashes: np.ndarray, band: int, of: tuple[int, int, int]) -> np.nd
 
 class Joiner:
     def __init__(self, docs: DataFrame, k: int, threshold: Fraction, key: str, text: str):
+        bound_batches(docs.sparkSession)
         self.t, self.k = threshold, k
         self.docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
         self.keys = stored(self.docs.mapInArrow(self.summary(), "key long, n long, band int, set long"), "set-keys")
@@ -231,31 +232,62 @@ class Joiner:
                     yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["set", "n", "shingles"])
 
         found = named.unionByName(nameless).select("text").mapInArrow(run, "set long, n long, shingles array<long>")
-        return stored(found.join(broadcast_if_small(some.select("set")), "set", "left_semi").dropDuplicates(["set"]), "shingle-sets")
+        found = stored(found.join(broadcast_if_small(some.select("set")), "set", "left_semi"), "shingle-sets")
+        several = found.groupBy("set").agg(F.count("*").alias("times")).where("times > 1")
+        if several.isEmpty():
+            return found
+        return stored(found.dropDuplicates(["set"]), "shingle-sets")  # documents without an id of their own
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose Jaccard similarity reaches the threshold."""
+        """Those of the pairs (a, b) of a leader and a set whose Jaccard similarity reaches the threshold.  A leader goes
+        with its sets to a task, or to several, each with a part of them."""
         num, den = self.t.numerator, self.t.denominator
-        one = sets.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-        other = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
         sizes = sets.select("set", "n")
-        fit = pairs.join(sizes.toDF("a", "n_1"), "a").join(sizes.toDF("b", "n_2"), "b").where(F.least("n_1", "n_2") * den >= F.greatest("n_1", "n_2") * num).select("a", "b")
-        common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-        return fit.join(one, "b").join(other, "a").where(common * den >= (F.col("n_a") + F.col("n_b") - common) * num).select("a", "b")
+        fit = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+        most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.max("n_b"))))
+        parts = fit.groupBy("a").agg(F.ceil(F.count("*") / most).alias("parts"))
+        own = fit.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("set"))
+        first = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("set"))
+        dealt = stored(own.unionByName(first), "dealt-pairs")
+
+        def run(table: pa.Table) -> pa.Table:
+            ids, leader = table["set"].to_numpy(), table["a"][0].as_py()
+            column = table["shingles"].combine_chunks()
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            of = lambda k: flat[ends[k] : ends[k + 1]]
+            at = int(np.flatnonzero(ids == leader)[0])
+            mine = np.sort(of(at))
+            out = []
+            for k in range(len(ids)):
+                if k != at:
+                    theirs = of(k)
+                    place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    common = int((mine[place] == theirs).sum())
+                    if common * den >= (len(mine) + len(theirs) - common) * num:
+                        out.append(ids[k])
+            return pa.table({"a": pa.array([leader] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+
+        placed = sets.select("set", "shingles").join(broadcast_if_small(dealt), "set")
+        return placed.groupBy("a", "part").applyInArrow(run, "a long, b long")
 
     def components(self) -> DataFrame:
         """(set, root) of each set that links with another."""
         pairs = self.led()
+        release(pairs.sparkSession)
         wanted = stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted-sets")
         sets = self.sets(wanted)
         links = stored(self.linked(pairs, sets), "links")
         roots = contract(links)
+        release(pairs.sparkSession)
         groups = pairs.select(F.col("a").alias("leader"), F.col("b").alias("set")).union(pairs.select("a", "a").distinct())
         placed = with_roots(groups, roots)
-        several = placed.groupBy("leader").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("leader")
-        left = stored(placed.join(broadcast_if_small(stored(several, "open-leaders")), "leader", "left_semi"), "open-groups")
-        for _ in range(2):  # sets that go may leave others without company
-            left = self.supported(left, sets)
+        several = placed.groupBy("leader").agg((F.min("root") != F.max("root")).alias("several"), F.count("*").alias("members")).where("several").select("leader", "members")
+        left = stored(placed.join(broadcast_if_small(stored(several, "open-leaders")), "leader").join(sets.select("set", "n"), "set"), "open-groups")
+        many = left.where(F.col("members") > BLOCK_SETS)
+        if not many.isEmpty():
+            for _ in range(2):  # sets that go may leave others without company
+                many = self.supported(many, sets)
+            left = stored(left.where(F.col("members") <= BLOCK_SETS).unionByName(many.select(*left.columns)), "open-groups")
         more = stored(self.compared(left, sets), "links")
         return roots if more.isEmpty() else contract(links.union(more))
 
@@ -272,14 +304,15 @@ class Joiner:
     def compared(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (a, b) between sets of a leader that lie in different components."""
         t = self.t
+        groups = groups.select("leader", "set", "root", "n")
         place = F.row_number().over(Window.partitionBy("leader").orderBy("root", "set")) - 1
         sizes = groups.groupBy("leader").agg(F.count("*").alias("members"), F.max("n").alias("most"))
         block = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
         dealt = groups.withColumn("place", place).join(sizes.withColumn("block", block), "leader")
         dealt = dealt.withColumns({"own": F.floor(F.col("place") / F.col("block")), "blocks": F.ceil(F.col("members") / F.col("block"))})
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-        placed = dealt.withColumn("pair", F.explode(others)).select("leader", "pair.i", "pair.j", "own", "set", "root")
-        placed = placed.join(sets.select("set", "shingles"), "set")
+        placed = stored(dealt.withColumn("pair", F.explode(others)).select("leader", "pair.i", "pair.j", "own", "set", "root"), "block-pairs")
+        placed = sets.select("set", "shingles").join(broadcast_if_small(placed), "set")
 
         def run(table: pa.Table) -> pa.Table:
             own, at = table["own"].to_numpy(), table["i"][0].as_py()
@@ -296,16 +329,32 @@ class Joiner:
 def block_links(ids, roots, row, shingle, size, left, right, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Links between the sets of two blocks (which may be one) that lie in different components; ``row`` and ``shingle``
     list the sets' shingles.  Each set gives at most one link to each component."""
-    if len(np.unique(roots)) < 2:
+    num, den = t.numerator, t.denominator
+    names, code = np.unique(shingle, return_inverse=True)
+    component = np.unique(roots, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code, alive = row[order], code[order], np.ones(len(ids), bool)
+    while True:
+        if not len(row):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        begins = np.flatnonzero(np.diff(code, prepend=-1))
+        of = component[row]
+        across = np.minimum.reduceat(of, begins) != np.maximum.reduceat(of, begins)
+        keep = np.repeat(across, np.diff(np.append(begins, len(code))))
+        row, code = row[keep], code[keep]
+        able = alive & (np.bincount(row, minlength=len(ids)) * den >= size * num)
+        if (able == alive).all():
+            break
+        alive = able
+        row, code = row[alive[row]], code[alive[row]]
+    if not len(row):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = [], []
-    names, code = np.unique(shingle, return_inverse=True)
-    often = np.bincount(code, minlength=len(names)) > 1  # a shingle of one set is in no intersection
-    keep = often[code]
-    column = (np.cumsum(often) - 1)[code[keep]]
-    row, width = row[keep], int(often.sum())
-    starts = np.searchsorted(row, np.arange(len(ids) + 1))  # rows are in order
-    num, den = t.numerator, t.denominator
+    column = np.unique(code, return_inverse=True)[1]
+    width = int(column.max()) + 1
+    order = np.argsort(row, kind="stable")
+    row, column = row[order], column[order]
+    starts = np.searchsorted(row, np.arange(len(ids) + 1))
 
     def matrix(rows: np.ndarray, first: int) -> np.ndarray:
         out = np.zeros((len(rows), min(COLUMNS, width - first)), np.float32)
@@ -314,7 +363,7 @@ def block_links(ids, roots, row, shingle, size, left, right, t: Fraction) -> tup
             out[k, at[(at >= first) & (at < first + COLUMNS)] - first] = 1
         return out
 
-    lefts, rights = np.flatnonzero(left), np.flatnonzero(right)
+    lefts, rights = np.flatnonzero(left & alive), np.flatnonzero(right & alive)
     for i in range(0, len(lefts), ROWS):
         x = lefts[i : i + ROWS]
         for j in range(0, len(rights), ROWS):
@@ -367,3 +416,21 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: Fraction = TH
 
 def op5_jaccard_join(spark, sf_dir) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, Fraction(85, 100))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, chr(1))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] || chr(1) || w[i + 3])) END AS s FROM w),
+rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id FROM sets s
+"""
