@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bound_batches, table
 
 TRAINING_PAGES, ROUNDS, RATE, PENALTY = 400, 250, 0.1, 1e-3
 PAGES = 256  # in a batch of inference
@@ -291,6 +291,7 @@ def extract(htmls: list[str | None], weights: np.ndarray, tables: np.ndarray) ->
 
 def extract_text(df: DataFrame, html: str = "html", text: str = "text", keep_html: bool = False) -> DataFrame:
     """``df`` with the main text, its length n_chars, and without the html unless it is to be kept."""
+    bound_batches(df.sparkSession)
     df = df.drop(text, "n_chars")
     sent = df.sparkSession.sparkContext.broadcast(model())
     kept = [f for f in df.schema.fields if keep_html or f.name != html]

@@ -18,6 +18,7 @@ outputs are replaced.
 from __future__ import annotations
 
 import re
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bound_batches, table
 
 #: Training rows and landmarks of each language, and the most languages that are learned.
 ROWS, LANDMARKS, LANGUAGES = 400, 64, 200
@@ -76,16 +77,20 @@ class KernelModel:
         universe = np.unique(np.concatenate([sets[i] for i in marks])) if len(marks) else np.empty(0, np.int32)
         if not len(universe):
             return cls(universe, np.zeros((0, 0), np.float32), [])
-        rows = np.zeros((len(sets), len(universe)), np.float32)
-        for row, grams in zip(rows, sets, strict=True):
-            row[np.searchsorted(universe, np.intersect1d(grams, universe, assume_unique=True))] = 1
-        rows /= np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-        landmarks = rows[marks]
+
+        def presence(part: list[np.ndarray]) -> np.ndarray:
+            rows = np.zeros((len(part), len(universe)), np.float32)
+            for row, grams in zip(rows, part, strict=True):
+                row[np.searchsorted(universe, np.intersect1d(grams, universe, assume_unique=True))] = 1
+            return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+
+        landmarks = presence([sets[i] for i in marks])
         inner = (landmarks @ landmarks.T).astype(np.float64)
         value, vector = np.linalg.eigh(inner)
         good = value > 1e-6 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])  # inverse square root of the landmarks' kernel matrix
-        features = (rows @ landmarks.T).astype(np.float64) @ root
+        kernel = np.concatenate([presence(sets[i : i + BLOCK]) @ landmarks.T for i in range(0, len(sets), BLOCK)])
+        features = kernel.astype(np.float64) @ root
         target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
         share = np.bincount(labels, minlength=len(languages))
         balance = (len(labels) / share)[labels][:, None]
@@ -127,6 +132,7 @@ class KernelModel:
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS) -> KernelModel:
     """Fits a model on at most ``rows`` rows of each of the ``LANGUAGES`` most frequent languages."""
+    bound_batches(df.sparkSession)
     labelled = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
@@ -139,16 +145,17 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def extract(batches):
         for batch in batches:
-            grams = [ngrams(x).tolist() for x in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["lang"], batch["hash"], pa.array(grams, pa.list_(pa.int32()))], ["lang", "hash", "grams"])
+            grams = [ngrams(x).astype("<i4").tobytes() for x in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["lang"], batch["hash"], pa.array(grams, pa.binary())], ["lang", "hash", "grams"])
 
-    found = sample.select("text", "lang", "hash").mapInArrow(extract, "lang string, hash long, grams array<int>").toPandas().sort_values(["lang", "hash"])
-    found = found.groupby("lang").head(rows)
-    return KernelModel.fit([np.asarray(x, np.int32) for x in found["grams"]], list(found["lang"]))
+    found = sorted(sample.select("text", "lang", "hash").mapInArrow(extract, "lang string, hash long, grams binary").collect(), key=lambda r: (r["lang"], r["hash"]))
+    chosen = [r for _, of in groupby(found, key=lambda r: r["lang"]) for r in islice(of, rows)]
+    return KernelModel.fit([np.frombuffer(r["grams"], "<i4").astype(np.int32) for r in chosen], [r["lang"] for r in chosen])
 
 
 def predict(df: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score."""
+    bound_batches(df.sparkSession)
     df = df.drop("lang_pred", "score")
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -156,6 +163,7 @@ def predict(df: DataFrame, model: KernelModel, text: str = "text") -> DataFrame:
         for batch in batches:
             names, score = sent.value.predict(batch[text].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+        sent.value.tables = None  # idle workers stay in memory
 
     return df.mapInArrow(judge, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

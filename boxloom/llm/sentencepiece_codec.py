@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import bound_batches, stored, table
 
 CHUNK = 65_536
 BLANK = "▁"
 #: Cached units of a worker; the cache is emptied when it is full, which changes no result.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 200_000
 #: Texts in a batch of results.
 ROWS = 256
 #: Units up to this length are cached.
@@ -418,6 +418,7 @@ def default_model() -> str:
 
 def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """``df`` with the array column ``ids``.  ``model``: path of the model file, the same on all machines."""
+    bound_batches(df.sparkSession)
     df = df.drop(ids)
     longest = Vocabulary.load(model).longest
     if chunk < 2 * longest:
@@ -469,6 +470,7 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
 
 def sentencepiece_decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the string column ``text``."""
+    bound_batches(df.sparkSession)
     df = df.drop(text)
 
     def decode(batches):

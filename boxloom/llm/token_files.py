@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, table
+from .common import bound_batches, fresh_path, stored, table
 from .files import make_folder, reading, task_file, writing
 
 LENGTH = 2_048
@@ -131,6 +131,7 @@ class SequenceWriter:
 
 def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Writes the files and returns the manifest: part, seq, doc (paths), n_docs, n_ids, start."""
+    bound_batches(df.sparkSession)
     make_folder(folder)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -157,6 +158,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
                 docs += batch.num_rows
                 batch = next((b for b in batches if b.num_rows), None)
             sequences.close()
+        code.clear()  # idle workers stay in memory
         yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "seq": seq, "doc": doc, "n_docs": docs, "n_ids": sequences.total}])
 
     dealt = rows.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh_path, stored, table
+from .common import bound_batches, broadcast_if_small, fresh_path, stored, table
 from .files import make_folder, reading, task_file, writing
 
 #: Magic numbers of the format (fixed values).
@@ -178,6 +178,7 @@ def with_first(df: DataFrame, page: str, html: str, least: int) -> DataFrame:
 
 def write_warc(df: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """Writes a record per row; returns the files: path, n_records."""
+    bound_batches(df.sparkSession)
     make_folder(folder)
     rows = with_first(df.select(page, F.col(url).cast("string").alias("url"), html), page, html, least)
 
