@@ -158,7 +158,6 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
                 docs += batch.num_rows
                 batch = next((b for b in batches if b.num_rows), None)
             sequences.close()
-        code.clear()  # idle workers stay in memory
         yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "seq": seq, "doc": doc, "n_docs": docs, "n_ids": sequences.total}])
 
     dealt = rows.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
