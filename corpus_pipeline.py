@@ -34,11 +34,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id."""
-    found = jaccard_components(docs)
-    others = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    others = broadcast_if_small(stored(others.withColumnRenamed("doc_id", "__other"), "near-duplicates"))
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("__other")), "left_anti")
+    """Of each group of near duplicates (five words, similarity 0.8) exactly one row: that with the smallest id; of
+    several texts with this id, or if no row of the group has an id, that with the smallest hash of id and text; of
+    rows that agree in id and text any one.  Rows are told apart by this hash, so rows without an id and different texts
+    under one id are judged each for itself.  Rows without words belong to no group and all stay."""
+    rows = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    found = jaccard_components(rows, key="__row").where("n_shingles > 0").select("__row", F.col("component_id").alias("group")).distinct()
+    named = rows.groupBy("__row").agg(F.first("doc_id").alias("id"), F.count("*").alias("times"))
+    grouped = stored(found.join(named, "__row"), "near-duplicates")
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "__row", "times")).alias("first")).select("first.__row", "first.times")
+    first = stored(first, "near-duplicates")
+    others = broadcast_if_small(stored(grouped.select("__row").join(first, "__row", "left_anti"), "near-duplicates"))
+    left = rows.join(others, "__row", "left_anti")
+    repeated = first.where("times > 1").select("__row")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    repeated = broadcast_if_small(repeated)
+    once = left.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    return left.join(repeated, "__row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,3 +254,28 @@ def test_pipeline_stages_take_nothing(spark, sf_dir):
     odd = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "word " * 60, None, None, 1)], docs.schema)).withColumn("ids", F.lit(1))
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, sf_dir).collect()
+
+
+def test_near_duplicates_leave_one_row_of_each_group(spark, sf_dir):
+    r = random.Random(8)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(8)]
+    near = [x + " end" for x in text]
+    groups = [
+        [(1, text[0]), (None, near[0]), (None, near[0])],  # a copy without an id
+        [(None, text[1])],  # unique, without an id
+        [(2, text[2]), (3, near[2])],
+        [(3, text[3])],  # another text under the id of a copy
+        [(4, text[4]), (4, near[4]), (4, near[4]), (5, text[4])],  # several rows with the smallest id
+        [(None, text[5]), (None, text[5]), (None, near[5])],  # no row has an id
+        [(6, text[6]), (6, text[6])],
+        [(None, None)], [(None, "")], [(7, None)], [(7, " ")], [(7, None)],  # no words, no group
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s", None) for g in groups for i, t in g], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, frame, sf_dir)
+    assert kept.columns == frame.columns
+    left = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    assert len(left) == len(groups)
+    for g in groups[:7]:
+        found = [x for x in left if x[1] in {t for _, t in g}]
+        assert len(found) == 1 and found[0][0] == min((i for i, _ in g if i is not None), default=None)
+    assert sorted(map(str, (x for x in left if not (x[1] or "").strip()))) == sorted(map(str, (x for g in groups[7:] for x in g)))
