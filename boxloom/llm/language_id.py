@@ -6,11 +6,12 @@ Nyström map turns kernel values with them into features, and one-versus-rest ke
 per language.  The product of landmark matrix and coefficients is one weight per n-gram and language, so a batch of
 texts is scored by one product of its presence matrix with the weights.
 
-Only the fit is on a sample: at most ``ROWS`` training rows for each language, chosen by a hash of their id.  Every
+Only the fit is on a sample: at most ``ROWS`` training rows for each language, chosen by a hash of id and text.  Every
 text is scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing can be
-learned.  Rows without a language teach nothing; a row without an id is never learned from.  Ties go to the first language by name.
+learned.  Rows without a language teach nothing; a row without an id is never learned from, one that
+is repeated is learned from once.  Ties go to the first language by name.
 Repeated rows are each scored; an empty table gives an empty result; other columns are kept, those with the names of
 outputs are replaced.
 """
@@ -18,11 +19,10 @@ outputs are replaced.
 from __future__ import annotations
 
 import re
-from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,23 +133,25 @@ class KernelModel:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS) -> KernelModel:
     """Fits a model on at most ``rows`` rows of each of the ``LANGUAGES`` most frequent languages."""
     bound_batches(df.sparkSession)
-    labelled = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # of key and text: however often an id comes, its texts are chosen each for itself
+    buckets = 1 << 40
+    usable = F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()
+    labelled = df.where(usable).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(buckets)).alias("hash"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("different")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return KernelModel.fit([], [])
-    # a hash keeps a few more rows than wanted of each language, then the first of them by hash are taken
-    buckets = 1 << 40
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.5 * rows / r["count"] + 50 / r["count"]) * buckets))])
-    hashed = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    sample = labelled.where(hashed < F.try_element_at(share, F.col("lang"))).withColumn("hash", hashed)
+    # a hash keeps a few more different rows than wanted of each language, then the first of them by hash are taken
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (1.5 * rows + 50) / max(1, r["different"])) * buckets))])
+    sample = labelled.where(F.col("hash") < F.try_element_at(share, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    sample = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= rows)
 
     def extract(batches):
         for batch in batches:
             grams = [ngrams(x).astype("<i4").tobytes() for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["hash"], pa.array(grams, pa.binary())], ["lang", "hash", "grams"])
 
-    found = sorted(sample.select("text", "lang", "hash").mapInArrow(extract, "lang string, hash long, grams binary").collect(), key=lambda r: (r["lang"], r["hash"]))
-    chosen = [r for _, of in groupby(found, key=lambda r: r["lang"]) for r in islice(of, rows)]
+    found = sample.select("text", "lang", "hash").mapInArrow(extract, "lang string, hash long, grams binary").collect()  # at most ``rows`` of each language
+    chosen = sorted(found, key=lambda r: (r["lang"], r["hash"]))
     return KernelModel.fit([np.frombuffer(r["grams"], "<i4").astype(np.int32) for r in chosen], [r["lang"] for r in chosen])
 
 

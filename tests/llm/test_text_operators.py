@@ -264,6 +264,20 @@ def test_language_edge_cases(spark):
     assert held == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in held}
 
 
+def test_language_training_rows(spark, monkeypatch):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(20)] + [(i, f"le chat et le chien {i}", "fr") for i in range(20)]
+    rows += [(None, f"le chien {i}", "en") for i in range(500)]  # without an id: never learned from
+    rows += [(99, "the same row", "en")] * 500 + [(100, f"a text {i} of one id", "de") for i in range(30)]
+    seen = []
+    monkeypatch.setattr(LI.KernelModel, "fit", classmethod(lambda cls, sets, names: seen.append((sets, names))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    LI.train(frame)
+    LI.train(frame, rows=10)
+    assert collections.Counter(seen[0][1]) == {"en": 21, "fr": 20, "de": 30}
+    assert {x.tobytes() for x in seen[0][0]} == {LI.ngrams(t).astype(np.int32).tobytes() for i, t, _ in rows if i is not None}
+    assert collections.Counter(seen[1][1]) == {"en": 10, "fr": 10, "de": 10}
+
+
 def test_windows_keep_all_ngrams(monkeypatch):
     text = "abcdefghij" * 5
     whole = LI.ngrams(text).tolist()
