@@ -16,7 +16,7 @@ blocks.  In a task, sets without a share t of their shingles in sets of other co
 are compared by products of presence matrices, except inside a component, and each set yields at most one link to each
 component it meets.  Where a leader has more than one block, the same filter first runs over all its sets at once.
 Every two similar sets share a signature and so a leader, and are either in one component or compared: the components
-are those of the full join.
+are those of the full join.  :func:`jaccard_links` gives all its links: there every set counts as a component.
 
 Sets are identified by 64-bit hashes of their shingles' 64-bit hashes.
 
@@ -270,12 +270,23 @@ class Joiner:
         placed = sets.select("set", "shingles").join(broadcast_if_small(dealt), "set")
         return placed.groupBy("a", "part").applyInArrow(run, "a long, b long")
 
-    def components(self) -> DataFrame:
-        """(set, root) of each set that links with another."""
+    def candidates(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of a leader and a set, and the sets in them."""
         pairs = self.led()
         release(pairs.sparkSession)
         wanted = stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "wanted-sets")
-        sets = self.sets(wanted)
+        return pairs, self.sets(wanted)
+
+    def links(self) -> DataFrame:
+        """All links (a, b), a < b, between different sets: each is a component of its own, so all sets of a leader are compared."""
+        pairs, sets = self.candidates()
+        groups = pairs.select(F.col("a").alias("leader"), F.col("b").alias("set")).union(pairs.select("a", "a").distinct())
+        found = self.compared(groups.withColumn("root", F.col("set")).join(sets.select("set", "n"), "set"), sets)
+        return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    def components(self) -> DataFrame:
+        """(set, root) of each set that links with another."""
+        pairs, sets = self.candidates()
         links = stored(self.linked(pairs, sets), "links")
         roots = contract(links)
         release(pairs.sparkSession)
@@ -414,6 +425,24 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: Fraction = TH
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, k: int = WORDS, threshold: Fraction = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: all links (a, b), a < b, between different sets, and a row (key, n_shingles, set) per row of ``docs``.
+    Rows of one set link with each other; a row without shingles has no set.  The number of links grows with the square
+    of a family of different near copies."""
+    join = Joiner(docs, k, Fraction(threshold), key, text)
+    return join.links(), join.keys.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "set")
+
+
+def link_counts(docs: DataFrame, k: int = WORDS, threshold: Fraction = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles and n_links, the number of other rows that it links with."""
+    links, members = jaccard_links(docs, k, threshold, key, text)
+    times = members.where("set is not null").groupBy("set").agg(F.count("*").alias("times"))
+    ends = links.union(links.select("b", "a")).toDF("set", "other")
+    others = ends.join(times.toDF("other", "theirs"), "other").groupBy("set").agg(F.sum("theirs").alias("others"))
+    counted = stored(times.join(others, "set", "left").select("set", (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "link-counts")
+    return members.join(broadcast_if_small(counted), "set", "left").select(key, "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def op5_jaccard_join(spark, sf_dir) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 4, Fraction(85, 100))
 

@@ -197,6 +197,24 @@ def test_jaccard_components_equal_brute_force(spark, monkeypatch, k, t, block):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == true_components(rows, k, t)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_jaccard_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(JJ, "BLOCK_SETS", block)  # 16: several blocks
+    k, t, source = 4, Fraction(85, 100), prose(1, 150, 10**6)
+    rows = [(i, edited(source, i, 1 + i % 2)) for i in range(50)] + [(100, source), (101, source), (None, source), (102, prose(5, 40))]
+    rows += [(200, None), (201, ""), (202, "one"), (203, "ONE")]
+    sets = [shingle_set(x, k) for _, x in rows]
+    linked = lambda a, b: bool(a & b) and len(a & b) * t.denominator >= len(a | b) * t.numerator
+    got = JJ.link_counts(docs(spark, rows, True), k, t).collect()
+    want = [(str(i), len(s), sum(linked(s, o) for m, o in enumerate(sets) if m != n)) for n, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in got) == sorted(want)
+    links, members = JJ.jaccard_links(docs(spark, rows), k, t)
+    different = list({frozenset(s) for s in sets})
+    pairs = sum(linked(a, b) for n, a in enumerate(different) for b in different[:n])
+    assert links.count() == links.distinct().count() == pairs > 100 and members.count() == len(rows)
+    assert JJ.link_counts(docs(spark, rows).limit(0), k, t).count() == 0
+
+
 def test_jaccard_of_nothing(spark):
     assert JJ.jaccard_components(docs(spark, [(1, "x")]).limit(0)).count() == 0
     assert [tuple(r) for r in JJ.jaccard_components(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
