@@ -1,8 +1,8 @@
 """HTML extraction by a tree-structured graphical model.
 
 A page's elements form a tree; each element is content (it holds text of the article) or not.  Unary potentials weigh
-an element's tag, the words in its class, id and role, the length of its text and the share of links in it;
-parent-child potentials connect it with its parent.  Sum-product messages go upward and downward, level by level for
+an element's tag, the words in its class, id and role, the length of its own text and of all text below it, the share of
+the page's text that this is, and the share of links in it; parent-child potentials connect it with its parent.  Sum-product messages go upward and downward, level by level for
 a batch of pages at once, and give each element's marginal.  Text is kept where the marginal of its element is at least one half.
 
 Weights are trained by maximum likelihood, with the same messages, on ``TRAINING_PAGES`` labelled pages that
@@ -11,15 +11,20 @@ Weights are trained by maximum likelihood, with the same messages, on ``TRAINING
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 an empty line in page order.
 
+Tags and attributes end where HTML ends them, stray quotes included; a quote that is never closed ends with its tag, a
+comment or raw element that is never closed is skipped as a lone tag, and a tag that the page ends in is left out.
+Pages are read in time linear in their length, whatever it is.
+
 Defined results: a null, empty or text-free html gives an empty text; unclosed and stray tags are repaired; comments,
-scripts, styles and other raw elements never hold text; repeated rows are each extracted; an empty table gives an
+scripts, styles, templates, titles and the fields of forms never hold text; plain text is one block; an element whose
+marginal is exactly one half is kept; repeated rows are each extracted; an empty table gives an
 empty result; other columns are kept, columns named like the output are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -33,18 +38,28 @@ from .common import bound_batches, table
 TRAINING_PAGES, ROUNDS, RATE, PENALTY = 400, 250, 0.1, 1e-3
 PAGES = 256  # in a batch of inference
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|data-y)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"'>]|$)""", re.I)
+#: A tag without stray quotes; others are read attribute by attribute.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><"'=]*+)((?:[^<>"'=]++|=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=]++))*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+NAME_OF_TAG, GAP, NAME, EQUALS, UNQUOTED = map(re.compile, (r"<(/?)([a-zA-Z][^\s/>]*+)", r"[\s/]*+", r"=?+[^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]*+"))
+COMMENT_END = re.compile("--!?>")
+HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 BLANK = re.compile(r"\s+")
 #: Elements by what they do in a page (fixed lists of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style template title iframe textarea select".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
+INLINE = frozenset(
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var
+    audio canvas map object picture video math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow
+    ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg circle defs desc ellipse g line path polygon polyline rect
+    text tspan use""".split()
+)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: An element that begins closes an open one of these, up to the parents named.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: An element that begins closes the nearest open one of these with all in it, if no parent of those named lies between.
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-TAGS = ["other", "html", "body", "head", "article", "main", "section", "div", "p", "h1", "heading", "list", "li", "quote", "table", "cell", "figure", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog"]
+TAGS = ["other", "html", "body", "head", "article", "main", "section", "div", "p", "h1", "heading", "list", "li", "quote", "table", "cell", "figure", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "noscript"]
 SAME_TAG = {"h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "blockquote": "quote", "pre": "quote", "tr": "table", "tbody": "table", "thead": "table", "td": "cell", "th": "cell", "figcaption": "figure", "fieldset": "form"}
 #: Words in class, id and role by the part of a page that they name (fixed lists).
 NAMES = [
@@ -61,17 +76,19 @@ NAMES = [
 ]
 NAMED = [(name, re.compile(rf"(?<![a-z])(?:{words})(?![a-z])", re.I)) for name, words in NAMES]
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-LENGTHS, LINKS = [1, 20, 60, 150, 400], [0.01, 0.3, 0.6, 0.9]
-#: Number of each unary feature: tags, then names, then lengths, then link shares; 0 is always on.
+LENGTHS, LINKS, BELOW, SHARES = [1, 20, 60, 150, 400], [0.01, 0.3, 0.6, 0.9], [100, 400, 1500, 6000], [0.05, 0.2, 0.5, 0.8]
+#: Number of each unary feature: tags, then names, then lengths, link shares, lengths below and shares of the page; 0 is always on.
 TAG_AT = 1
 NAME_AT = TAG_AT + len(TAGS)
 LENGTH_AT = NAME_AT + len(NAMED) + 1
 LINK_AT = LENGTH_AT + len(LENGTHS) + 1
-FEATURES = LINK_AT + len(LINKS) + 1
+BELOW_AT = LINK_AT + len(LINKS) + 1
+SHARE_AT = BELOW_AT + len(BELOW) + 1
+FEATURES = SHARE_AT + len(SHARES) + 1
 TAG_NUMBER = {name: i for i, name in enumerate(TAGS)} | {tag: TAGS.index(name) for tag, name in SAME_TAG.items()}
 
 
-@cache
+@lru_cache(1 << 16)
 def names_in(value: str) -> tuple[int, ...]:
     value = CAMEL.sub("-", value)
     return tuple(NAME_AT + i for i, (_, pattern) in enumerate(NAMED) if pattern.search(value))
@@ -79,17 +96,84 @@ def names_in(value: str) -> tuple[int, ...]:
 
 class Page:
     """Elements in page order and blocks of text.  ``tags``, ``parents``, ``depths``, ``marks`` have an entry for each
-    element; ``blocks``: (element, text, characters in links)."""
+    element; ``blocks``: (element, text, characters in links).  Labels are read from composed pages only."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = False):
         self.tags, self.parents, self.depths = ["#root"], [-1], [0]
         self.marks: list[tuple[int, ...]] = [()]
-        self.labels: list[int] = [0]
+        self.labels: list[int] = [int(labelled)]
         self.blocks: list[tuple[int, str, int]] = []
-        self.read(html)
-
-    def read(self, html: str) -> None:
-        stack, inline, held, linked, in_link = [0], [], [], 0, 0
+        self.html, self.labelled = html, labelled
+        self.missing: set[str] = set()  # what does not come again in the rest of the page
+        self.read()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of ``what``, or -1; a search in vain is made once."""
+        if what in self.missing:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[str, str, list[tuple[str, str]] | str, int] | None:
+        """Slash, name, attributes and end of the tag at a place; None if the page ends in it."""
+        html, n = self.html, len(self.html)
+        if m := TAG.match(html, at):
+            return m[1], m[2].lower(), m[3], m.end()
+        m, found = NAME_OF_TAG.match(html, at), []
+        slash, name, at = m[1], m[2].lower(), m.end()
+        while True:
+            at = GAP.match(html, at).end()
+            if at >= n:
+                return None
+            if html[at] == ">":
+                return slash, name, found, at + 1
+            start, at = at, NAME.match(html, at).end()
+            key, value = html[start:at], ""
+            if equals := EQUALS.match(html, at):
+                at = equals.end()
+                end = self.find(html[at], at + 1) if html[at : at + 1] in ('"', "'") else -1
+                if end >= 0:
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    start, at = at, UNQUOTED.match(html, at).end()
+                    value = html[start:at]
+            found.append((key, value))
+
+    def after_mark(self, at: int) -> int:
+        """The end of a comment, declaration or other mark that is no tag."""
+        html = self.html
+        if html.startswith("<!--", at):
+            for empty in ("<!-->", "<!--->"):
+                if html.startswith(empty, at):
+                    return at + len(empty)
+            if "--" not in self.missing:
+                if m := COMMENT_END.search(html, at + 4):
+                    return m.end()
+                self.missing.add("--")
+        end = self.find(">", at)
+        return end + 1 if end >= 0 else len(html)
+
+    def marks_of(self, tag: str, attributes: list[tuple[str, str]] | str) -> tuple[tuple[int, ...], int]:
+        if isinstance(attributes, str):
+            attributes = [(m[1], m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
+        marks, label = (), 0
+        for name, value in attributes:
+            name = name.lower()
+            if name in ("class", "id", "role", "itemprop"):
+                if tag not in ("html", "body"):  # there they name the page, not a part of it
+                    marks += names_in(value)
+            elif name == "hidden" or (name == "style" and HIDING.search(value)):
+                marks += (NAME_AT + len(NAMED),)
+            elif name == "data-y" and self.labelled:
+                label = int(value)
+        return marks, label
+
+    def read(self) -> None:
+        html = self.html
+        stack, held, linked, in_link = [0], [], 0, 0
+        is_open: dict[str, int] = {}
 
         def flush():
             nonlocal linked
@@ -107,84 +191,81 @@ class Page:
             if in_link:
                 linked += len(text)
 
-        def pop_to(at: int):
-            del stack[at:]
-
-        at = 0
-        end_of = len(html)
+        def close(tags, until=()):
+            """Closes the nearest open element of the given tags."""
+            if any(is_open.get(t) for t in tags):
+                for k in range(len(stack) - 1, 0, -1):
+                    tag = self.tags[stack[k]]
+                    if tag in tags:
+                        for i in stack[k:]:
+                            is_open[self.tags[i]] -= 1
+                        del stack[k:]
+                        return
+                    if tag in until:
+                        return
+
+        at, shown = 0, 0  # text from ``shown`` on is not yet added
         while True:
-            m = TOKEN.search(html, at)
-            if m is None:
-                if at < end_of:
-                    add(html[at:])
+            at = html.find("<", at)
+            if at < 0:
                 break
-            if m.start() > at:
-                add(html[at : m.start()])
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+            after = html[at + 1 : at + 3]
+            if not (after[:1].isascii() and after[:1].isalpha()) and not (after[:1] == "/" and after[1:].isascii() and after[1:].isalpha()):
+                if after[:1] not in ("!", "?", "/") or not after:
+                    at += 1
+                    continue
+                if shown < at:
+                    add(html[shown:at])
+                at = shown = self.after_mark(at)
                 continue
-            tag = tag.lower()
-            if m[1]:
+            if shown < at:
+                add(html[shown:at])
+            found = self.tag(at)
+            if found is None:
+                shown = len(html)
+                break
+            slash, tag, attributes, at = found
+            shown = at
+            if slash:
                 if tag == "a":
                     in_link = max(0, in_link - 1)
-                if tag in INLINE:
-                    continue
-                flush()
-                in_link = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        pop_to(k)
-                        break
-                continue
-            if tag == "br":
+                if tag not in INLINE:
+                    flush()
+                    in_link = 0
+                    close((tag,))
+            elif tag == "br":
                 held.append(" ")
-                continue
-            if tag in VOID:
+            elif tag in VOID:
                 if tag == "hr":
                     flush()
-                continue
-            if tag in RAW and not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end_of
+            elif tag in RAW:
+                empty = isinstance(attributes, str) and attributes.rstrip().endswith("/")
+                if not empty and tag not in self.missing:
+                    if end := RAW_END[tag].search(html, at):
+                        at = shown = end.end()
+                    else:
+                        self.missing.add(tag)
                 if tag not in ("script", "style", "template"):
                     held.append(" ")
-                continue
-            if tag in RAW:
-                continue
-            if tag in INLINE:
+            elif tag in INLINE:
                 in_link += tag == "a"
-                continue
-            flush()
-            in_link = 0
-            if tag in CLOSES_P and "p" in (self.tags[i] for i in stack[-1:]):
-                pop_to(len(stack) - 1)
-            if tag in CLOSES:
-                closed, until = CLOSES[tag]
-                first = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] in closed:
-                        first = k
-                    elif self.tags[stack[k]] in until:
-                        break
-                if first is not None:
-                    pop_to(first)
-            marks, label = (), 0
-            if len(m[3]) > 3:
-                for name, *value in ATTRIBUTE.findall(m[3]):
-                    name, text = name.lower(), "".join(value)
-                    if name == "data-y":
-                        label = int(text)
-                    elif name == "hidden":
-                        marks += (NAME_AT + len(NAMED),)
-                    else:
-                        marks += names_in(text)
-            self.tags.append(tag)
-            self.parents.append(stack[-1])
-            self.depths.append(self.depths[stack[-1]] + 1)
-            self.marks.append(marks)
-            self.labels.append(label)
-            stack.append(len(self.tags) - 1)
+            else:
+                flush()
+                in_link = 0
+                if tag in CLOSES_P and self.tags[stack[-1]] == "p":
+                    close(("p",))
+                if tag in CLOSES:
+                    close(*CLOSES[tag])
+                marks, label = self.marks_of(tag, attributes) if attributes else ((), 0)
+                self.tags.append(tag)
+                self.parents.append(stack[-1])
+                self.depths.append(self.depths[stack[-1]] + 1)
+                self.marks.append(marks)
+                self.labels.append(label)
+                stack.append(len(self.tags) - 1)
+                is_open[tag] = is_open.get(tag, 0) + 1
+        if shown < len(html):
+            add(html[shown:])
         flush()
 
 
@@ -217,8 +298,9 @@ class Forest:
         for level in self.levels[:0:-1]:
             np.add.at(deep_chars, self.parent[level], deep_chars[level])
             np.add.at(deep_links, self.parent[level], deep_links[level])
-        rows += [np.arange(n), np.arange(n)]
-        columns += [LENGTH_AT + np.digitize(chars, LENGTHS), LINK_AT + np.digitize(deep_links / np.maximum(deep_chars, 1), LINKS)]
+        whole = np.maximum(np.repeat(deep_chars[starts[:-1]], np.diff(starts)), 1)
+        rows += [np.arange(n)] * 4
+        columns += [LENGTH_AT + np.digitize(chars, LENGTHS), LINK_AT + np.digitize(deep_links / np.maximum(deep_chars, 1), LINKS), BELOW_AT + np.digitize(deep_chars, BELOW), SHARE_AT + np.digitize(deep_chars / whole, SHARES)]
         self.rows, self.columns, self.n = np.concatenate(rows), np.concatenate(columns), n
         self.kind = tags  # the parent-child table of an element is that of its tag
 
@@ -279,7 +361,7 @@ def train(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
 def model() -> tuple[np.ndarray, np.ndarray]:
     from .html_training import labelled_pages
 
-    return train([Page(html) for html in labelled_pages(TRAINING_PAGES)])
+    return train([Page(html, labelled=True) for html in labelled_pages(TRAINING_PAGES)])
 
 
 def extract(htmls: list[str | None], weights: np.ndarray, tables: np.ndarray) -> list[str]:

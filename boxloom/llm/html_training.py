@@ -9,6 +9,8 @@ import random
 
 SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi wo zu an el in or ur".split()
 WRAPPERS = ['article', 'main', 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'div class="entry-content"', 'section class="article-body"', 'div id="article"', 'div class="story"', "section", "div"]
+#: Frames around all parts of a page; their names tell what the page has, not what they are.
+FRAMES = ['div class="wrapper has-sidebar"', 'div id="page" class="site with-footer"', 'div class="layout no-header"', 'div id="wrapper"', 'div class="page has-menu"', 'div class="container"']
 
 
 class Composer:
@@ -125,11 +127,24 @@ class Composer:
             whole = self.element(self.r.choice(["div", "main", 'div class="wrapper"', 'div id="page"', "section", 'div class="container"']), 1, whole + "".join(extra))
         return whole
 
+    def script_notice(self) -> str:
+        return self.element("noscript", 0, self.words(3, 20))
+
     def page(self) -> str:
-        before = [f() for f in (self.header, self.menu, self.advert, self.notice, self.form) if self.r.random() < 0.45]
-        after = [f() for f in (self.related, self.comments, self.advert, self.notice, self.form, self.footer) if self.r.random() < 0.4]
+        kind = self.r.random()
+        if kind < 0.03:  # plain text
+            return self.words(5, 300)
+        if kind < 0.1:  # paragraphs without a frame
+            return "".join(self.content() for _ in range(self.r.randint(1, 12)))
+        before = [f() for f in (self.header, self.menu, self.advert, self.notice, self.form, self.script_notice) if self.r.random() < 0.45]
+        after = [f() for f in (self.related, self.comments, self.advert, self.notice, self.form, self.footer, self.script_notice) if self.r.random() < 0.4]
         self.r.shuffle(before)
-        body = self.element("body", 1, "".join(before) + self.article() + "".join(after))
+        inner = "".join(before) + self.article() + "".join(after)
+        if kind < 0.2:  # a form around the whole page
+            inner = self.element(self.r.choice(["form", 'form id="aspnetForm"', 'form class="page"']), 1, inner)
+        elif kind < 0.35:
+            inner = self.element(self.r.choice(FRAMES), 1, inner)
+        body = self.element("body", 1, inner)
         head = f"<head><title>{self.words(1, 8)}</title><style>p{{}}</style></head>"
         return f'<!DOCTYPE html><html data-y="1">{head}{body}</html>'
 

@@ -190,7 +190,7 @@ def test_extraction_of_a_page():
 
 
 def test_held_out_pages():
-    pages = [HX.Page(h) for h in HT.labelled_pages(150, seed=77)]
+    pages = [HX.Page(h, labelled=True) for h in HT.labelled_pages(150, seed=77)]
     forest = HX.Forest(pages)
     weights, tables = HX.model()
     marginal, _ = HX.sum_product(forest, forest.unary(weights), tables)
