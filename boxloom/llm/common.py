@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Largest table, in rows, that is sent whole to every executor.
 BROADCAST_ROWS = 1_000_000
+#: Rows from which on a key is hot: its rows are joined where they are, not gathered by key.
+HOT_ROWS = 10_000
 #: Rows of texts in an Arrow batch.
 BATCH_ROWS = 1_000
 
@@ -25,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.  Only where a session has none
-    (single-machine tests) is a temporary one set."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.  Only where a session on a single
+    machine (tests) has none is a temporary one set; on a cluster a missing one is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="boxloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,14 +44,48 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders written within each open ``intermediate`` block.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there, so a lost executor costs no
     recomputation of what lies before."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Tables stored in the block are deleted when it ends; what is needed afterwards must be stored after it or by
+    ``kept`` within it."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _written.pop())
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """As ``stored``, in the surrounding ``intermediate`` block, if there is one, instead of the innermost."""
+    inner = _written.pop() if _written else None
+    try:
+        return stored(df, tag)
+    finally:
+        if inner is not None:
+            _written.append(inner)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Rows of texts go to Python in batches of at most ``BATCH_ROWS``: with the default of 10,000 a batch, held by the
     executor and by each worker of a task, takes a large part of their memory."""
@@ -69,6 +109,22 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def join_with_hot_keys(rows: DataFrame, info: DataFrame, key: str, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``info`` on ``key`` ("inner" or "left").  The entries of keys with more than ``HOT_ROWS`` rows
+    are sent to the rows, whose tasks keep them; the rest is joined by key.  ``sizes``: (key, size) if it is known.
+    Should so many keys be hot that their entries are not small, they are enough to be dealt by key like the others."""
+    if sizes is None:
+        sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
+    hot = stored(sizes.where(F.col("size") > HOT_ROWS).select(key), "hot-keys")
+    if hot.isEmpty() or not is_small(hot):
+        return rows.join(info, key, how)
+    theirs = info.join(F.broadcast(hot), key, "left_semi")
+    if not is_small(theirs):
+        return rows.join(info, key, how)
+    ours = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(theirs), key, how)
+    return rows.join(F.broadcast(hot), key, "left_anti").join(info, key, how).unionByName(ours)
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
