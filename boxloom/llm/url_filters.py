@@ -1,7 +1,7 @@
 """URL filters: a trie over reversed host labels and path segments decides between allow and block entries.
 
 A rule is ``host/path``.  It fits its host and every subdomain when the url's path starts with the rule's path, and
-the longest fitting rule wins; should the same rule stand in both lists, block wins.  The trie has one level per host
+the longest fitting rule wins; of rules of equal length block wins, then the later one in the order of code points.  The trie has one level per host
 label from the right, then one per path segment; the last segment of a rule is matched as a prefix.
 
 Defined results: a null url, or one without ``://``, has empty host and path and gets the default verdict; urls may
@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, table
+from .common import LOWER, UPPER, join_with_hot_keys, lower_ascii, table
 
 MAX_TRIE_RULES = 200_000
+ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: The rules of the query, fixed by its contract.
 RULES = [
     ("com/en/", "block"),
@@ -35,25 +36,25 @@ RULES = [
 
 
 class UrlTrie:
-    """``nodes`` are dicts: under a label or segment the next node, under ``None`` the rules that end there."""
+    """``nodes`` are dicts: under a label or segment the next node, under ``None`` the rules that end there, by their
+    last segment: length, verdict and rule, of which the greatest wins ("block" comes after "allow")."""
 
     def __init__(self, rules: list[tuple[str, str]]):
         self.root: dict = {}
         for rule, verdict in rules:
             host, slash, rest = rule.partition("/")
             node = self.root
-            for label in reversed(host.lower().split(".")):
+            for label in reversed(host.translate(ASCII_LOWER).split(".")):
                 node = node.setdefault(label, {})
             node = node.setdefault("/", {})  # no label holds a slash
             *whole, last = (slash + rest).split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
             ends = node.setdefault(None, {})
-            if ends.get(last, ("", ""))[1] != "block":
-                ends[last] = (rule, verdict)
+            ends[last] = max(ends.get(last, (0, "", "")), (len(rule), verdict, rule))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
-        best, node, segments = None, self.root, path.split("/")
+        best, node, segments = (0, "", ""), self.root, path.split("/")
         for label in reversed(host.split(".")):
             node = node.get(label)
             if node is None:
@@ -63,10 +64,10 @@ class UrlTrie:
                 if at is None:
                     break
                 for last, found in at.get(None, {}).items():
-                    if segment.startswith(last) and (best is None or len(found[0]) > len(best[0])):
+                    if found > best and segment.startswith(last):
                         best = found
                 at = at.get(segment)
-        return best
+        return (best[2], best[1]) if best[0] else None
 
 
 def with_host_and_path(df: DataFrame, url: str = "url") -> DataFrame:
@@ -99,7 +100,8 @@ def filter_by_join(parsed: DataFrame, rules: list[tuple[str, str]], default: str
     listed = listed.select("rule", "verdict", lower_ascii(F.substring_index("rule", "/", 1)).alias("suffix"), F.regexp_extract("rule", r"(?s)/.*", 0).alias("start"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fits = parsed.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).join(listed, "suffix").where(F.col("path").startswith(F.col("start")))
+    parts = parsed.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes))
+    fits = join_with_hot_keys(parts, listed, "suffix").where(F.col("path").startswith(F.col("start")))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule")).alias("__best"))
     joined = parsed.join(best, ["host", "path"], "left")
     return joined.select(*parsed.columns, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
