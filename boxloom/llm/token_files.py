@@ -8,10 +8,12 @@ manifest, a row per file pair, adds the number of ids in all files before.  :fun
 memory-mapped file.
 
 Encoding is cached by unit, a word or a run of signs with the white space before it: a byte-level BPE never merges
-across such a place.  Every unit is encoded by the tokenizers library.
+across such a place.  Every unit is encoded by the tokenizers library.  A text that holds the string of a special token
+is given to the library whole, which turns that string into its id, as it does by default.
 
 Defined results: a null text is empty, so its only id is the end id; rows without a key come first; rows with equal
-keys are ordered by their text; an empty table gives no files and an empty result; other columns are not read.
+keys are ordered by a hash of their text, equal rows follow one another; a text of any length is encoded whole by one
+task and its ids may run over many sequences; an empty table gives no files and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +62,8 @@ class TextEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        strings = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(strings)) if strings else None
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -80,6 +83,8 @@ class TextEncoder(dict):
 
     def text(self, text: str) -> bytes:
         """The ids of a text as integers of ``dtype``."""
+        if self.added and self.added.search(text):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, self.units.findall(text)))
 
 
@@ -134,6 +139,9 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
     bound_batches(df.sparkSession)
     make_folder(folder)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # the last column only tells equal rows apart, so that a key with many rows is dealt to several files
+    order = [F.col("key").asc_nulls_first(), "hash", "row"]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
 
     def write(batches):
         first = next((b for b in batches if b.num_rows), None)
@@ -160,8 +168,8 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, key: str = "do
             sequences.close()
         yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "seq": seq, "doc": doc, "n_docs": docs, "n_ids": sequences.total}])
 
-    dealt = rows.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    files = stored(dealt.mapInArrow(write, "part long, seq string, doc string, n_docs long, n_ids long"), "token-manifest")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    files = stored(dealt.select("key", "text").mapInArrow(write, "part long, seq string, doc string, n_docs long, n_ids long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
