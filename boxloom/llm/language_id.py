@@ -6,8 +6,8 @@ Nyström map turns kernel values with them into features, and one-versus-rest ke
 per language.  The product of landmark matrix and coefficients is one weight per n-gram and language, so a batch of
 texts is scored by one product of its presence matrix with the weights.
 
-Only the fit is on a sample: at most ``ROWS`` training rows for each language, chosen by a hash of id and text.  Every
-text is scored whole.
+Only the fit is on a sample: at most ``ROWS`` training rows for each language, chosen by a hash of id and text, and
+``ALL_ROWS`` for all languages, every one of which is learned.  Every text is scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing can be
 learned.  Rows without a language teach nothing; a row without an id is never learned from, one that
@@ -28,17 +28,24 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, table
 
-#: Training rows and landmarks of each language, and the most languages that are learned.
-ROWS, LANDMARKS, LANGUAGES = 400, 64, 200
+#: Training rows and landmarks of each language.  With many languages the sums are bounded, at one of each at least.
+ROWS, LANDMARKS = 400, 64
+ALL_ROWS, ALL_LANDMARKS = 80_000, 2_048
+COLUMNS = 1 << 14  # n-grams of the presence matrices that the fit holds
 RIDGE = 1e-3
 #: Sharpness of the softmax that turns ridge outputs into a score.
 SHARPNESS = 5.0
 WINDOW = 1 << 20  # bytes of a text that are looked at together
 BLOCK = 128  # texts in a presence matrix
 ORDERS = (1, 2, 3)
+#: Characters among which all letters are; ``str.isalpha`` tells these (Unicode category L) from other numbers.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def windows(text: str):
     """The text's bytes in overlapping windows, so that every n-gram is in one."""
     data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
@@ -73,29 +80,39 @@ class KernelModel:
     def fit(cls, sets: list[np.ndarray], names: list[str]) -> KernelModel:
         languages = sorted(set(names))
         labels = np.array([languages.index(x) for x in names], int)
-        marks = np.concatenate([np.flatnonzero(labels == c)[:LANDMARKS] for c in range(len(languages))]) if languages else np.empty(0, int)
+        each = max(1, min(LANDMARKS, ALL_LANDMARKS // max(1, len(languages))))
+        marks = np.concatenate([np.flatnonzero(labels == c)[:each] for c in range(len(languages))]) if languages else np.empty(0, int)
         universe = np.unique(np.concatenate([sets[i] for i in marks])) if len(marks) else np.empty(0, np.int32)
         if not len(universe):
             return cls(universe, np.zeros((0, 0), np.float32), [])
-
-        def presence(part: list[np.ndarray]) -> np.ndarray:
-            rows = np.zeros((len(part), len(universe)), np.float32)
-            for row, grams in zip(rows, part, strict=True):
-                row[np.searchsorted(universe, np.intersect1d(grams, universe, assume_unique=True))] = 1
-            return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-
-        landmarks = presence([sets[i] for i in marks])
-        inner = (landmarks @ landmarks.T).astype(np.float64)
-        value, vector = np.linalg.eigh(inner)
+        columns = [np.searchsorted(universe, np.intersect1d(x, universe, assume_unique=True)) for x in sets]
+        norms = np.sqrt(np.maximum([len(x) for x in columns], 1))
+
+        def presence(part: list[int], first: int) -> np.ndarray:
+            """Rows of the normalized presence matrix, ``COLUMNS`` columns from the given one."""
+            rows = np.zeros((len(part), min(COLUMNS, len(universe) - first)), np.float32)
+            for row, i in zip(rows, part, strict=True):
+                at = columns[i]
+                row[at[np.searchsorted(at, first) : np.searchsorted(at, first + COLUMNS)] - first] = 1 / norms[i]
+            return rows
+
+        kernel = np.zeros((len(sets), len(marks)))  # of all rows with the landmarks
+        for first in range(0, len(universe), COLUMNS):
+            landmarks = presence(marks, first)
+            for at in range(0, len(sets), BLOCK):
+                part = range(at, min(at + BLOCK, len(sets)))
+                kernel[part.start : part.stop] += presence(part, first) @ landmarks.T
+        value, vector = np.linalg.eigh(kernel[marks])
         good = value > 1e-6 * value[-1]
         root = vector[:, good] / np.sqrt(value[good])  # inverse square root of the landmarks' kernel matrix
-        kernel = np.concatenate([presence(sets[i : i + BLOCK]) @ landmarks.T for i in range(0, len(sets), BLOCK)])
-        features = kernel.astype(np.float64) @ root
+        features = kernel @ root
         target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
         share = np.bincount(labels, minlength=len(languages))
         balance = (len(labels) / share)[labels][:, None]
         fit = np.linalg.solve(features.T @ (features * balance) + RIDGE * len(labels) * np.eye(features.shape[1]), features.T @ (target * balance))
-        return cls(universe, (landmarks.T @ (root @ fit)).astype(np.float32), languages)
+        alpha = root @ fit
+        weights = [presence(marks, first).T @ alpha for first in range(0, len(universe), COLUMNS)]
+        return cls(universe, np.concatenate(weights).astype(np.float32), languages)
 
     def lookups(self) -> dict[int, np.ndarray]:
         """For each order a table from n-gram to column; column 0 takes n-grams outside the universe."""
@@ -112,7 +129,7 @@ class KernelModel:
         if not self.languages:
             return names, score
         tables = self.lookups()
-        known = [i for i, x in enumerate(texts) if x and LETTER.search(x)]
+        known = [i for i, x in enumerate(texts) if x and has_letter(x)]
         for at in range(0, len(known), BLOCK):
             block = known[at : at + BLOCK]
             present = np.zeros((len(block), len(self.universe) + 1), bool)
@@ -131,15 +148,16 @@ class KernelModel:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS) -> KernelModel:
-    """Fits a model on at most ``rows`` rows of each of the ``LANGUAGES`` most frequent languages."""
+    """Fits a model of all languages on at most ``rows`` rows of each."""
     bound_batches(df.sparkSession)
     # of key and text: however often an id comes, its texts are chosen each for itself
     buckets = 1 << 40
     usable = F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()
     labelled = df.where(usable).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(buckets)).alias("hash"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("hash").alias("different")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("hash").alias("different")).collect()  # a row per language
     if not counts:
         return KernelModel.fit([], [])
+    rows = max(1, min(rows, ALL_ROWS // len(counts)))
     # a hash keeps a few more different rows than wanted of each language, then the first of them by hash are taken
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (1.5 * rows + 50) / max(1, r["different"])) * buckets))])
     sample = labelled.where(F.col("hash") < F.try_element_at(share, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))

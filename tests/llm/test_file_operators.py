@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from boxloom.llm import html_extraction as HX
@@ -102,16 +103,16 @@ def test_spark_round_trip(spark, library):
 
 
 def test_token_files(spark):
-    texts = [*ODD, *random_texts(200, 5), "words and words " * 5000]
+    texts = [*ODD, *random_texts(200, 5), "words and words " * 5000, "a <|endoftext|> b", "<|endoftext|>" * 3, " <|endoftext", "x\n\n<|endoftext|>  y "]
     rows = spark.createDataFrame([(None if i == 3 else 1000 - i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, start int")
-    code = TF.text_encoder(TF.default_tokenizer())
+    code = Tokenizer.from_file(TF.default_tokenizer())
     folder = fresh_path(spark, "tokens")
     manifest = TF.write_token_files(rows, TF.default_tokenizer(), folder, length=64)
     got = sorted(TF.read_token_files(manifest).collect(), key=lambda r: r["start"])
     order = sorted(((None if i == 3 else 1000 - i, t) for i, t in enumerate(texts)), key=lambda r: (r[0] is not None, r[0] or 0))
     at, stream = 0, []
     for r, (key, text) in zip(got, order, strict=True):
-        ids = code.tokenizer.encode(text or "", add_special_tokens=False).ids + [TF.END_ID]
+        ids = code.encode(text or "", add_special_tokens=False).ids + [TF.END_ID]
         assert (r["key"], r["start"], r["n_ids"], r["ids_crc32"]) == (key, at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
         at += len(ids)
         stream += ids
@@ -126,6 +127,22 @@ def test_token_files(spark):
     assert TF.read_token_files(empty).count() == 0
 
 
+def test_token_files_of_a_hot_key(spark):
+    """Most rows under one key or without one: they are dealt to several files, in ascending order all the same."""
+    texts = [f"some text {i % 7}" for i in range(400)]
+    rows = spark.createDataFrame([(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins files as small as these
+    try:
+        manifest = TF.write_token_files(rows, TF.default_tokenizer(), fresh_path(spark, "tokens"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(TF.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    keys = [r["key"] for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len(got) == 400
+    assert [r["start"] for r in got] == list(np.cumsum([0, *[r["n_ids"] for r in got]])[:-1])
+    assert manifest.where("n_docs > 200").count() == 0
+
+
 # --- WARC
 
 

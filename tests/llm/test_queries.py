@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from boxloom.llm import token_files
 from boxloom.llm.queries import QUERIES, SQL
@@ -36,7 +37,7 @@ def test_every_operator_has_a_query(spark, sf_dir):
 
 
 def test_token_query(spark, sf_dir):
-    code, at = token_files.text_encoder(token_files.default_tokenizer()).tokenizer, 0
+    code, at = Tokenizer.from_file(token_files.default_tokenizer()), 0
     got = {r["doc_id"]: r for r in QUERIES["op6_token_files"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id").collect():
         ids = code.encode(r["text"], add_special_tokens=False).ids + [2]

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from boxloom.llm import common as CO
 from boxloom.llm import decontamination as DC
 from boxloom.llm import jaccard_join as JJ
 from boxloom.llm import language_id as LI
@@ -62,6 +63,22 @@ def test_url_trie_and_join(spark):
     assert UF.UrlTrie([]).find("a", "") is None
 
 
+def test_url_ties_and_hot_suffixes(spark, monkeypatch):
+    """Trie and join agree where rules of equal length fit, whatever the host's case, and where a suffix is hot."""
+    r = random.Random(3)
+    labels, paths = ["a", "b", "com", "COM"], ["", "a", "ab", "abcd", "a/b", "a/", "b"]
+    rules = [("com/abcd", "allow"), ("a.com/ab", "block"), ("com/a", "block"), ("com/b", "allow"), ("com/b", "block")]
+    rules += [(".".join(r.choices(labels, k=r.randint(1, 3))) + "/" + r.choice(paths), r.choice(["allow", "block"])) for _ in range(60)]
+    urls = ["http://a.com/abcd"] + ["x://" + ".".join(r.choices(labels, k=r.randint(1, 4))) + "/" + r.choice(paths) + r.choice(["", "x", "?q"]) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    trie = {x["page_id"]: (x["rule"], x["verdict"]) for x in UF.filter_urls(rows, rules).collect()}
+    assert trie[0] == ("a.com/ab", "block")
+    for hot in (10_000, 5):
+        monkeypatch.setattr(CO, "HOT_ROWS", hot)
+        joined = UF.filter_by_join(UF.with_host_and_path(rows), rules)
+        assert {x["page_id"]: (x["rule"], x["verdict"]) for x in joined.collect()} == trie
+
+
 # --- sharding
 
 
@@ -282,6 +299,51 @@ def test_language_edge_cases(spark):
     assert held == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in held}
 
 
+def test_letters_are_those_of_category_l(spark):
+    import unicodedata
+
+    model = LI.train(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr")], "doc_id long, text string, lang string"))
+    chars = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    names, _ = model.predict([*chars, "½²①Ⅷ", "½²①Ⅷ x"])
+    assert [n != "und" for n in names] == [unicodedata.category(c)[0] == "L" for c in chars] + [False, True]
+
+
+def test_kernel_fit_equals_direct_computation(monkeypatch):
+    """Kernel matrix, Nystroem map and ridge outputs from their definitions."""
+    r = random.Random(1)
+    texts = [" ".join("".join(r.choices("abcdefgh"[i % 3 :], k=4)) for _ in range(12)) for i in range(60)]
+    names = ["xyz"[i % 3] for i in range(60)]
+    monkeypatch.setattr(LI, "LANDMARKS", 8)
+    monkeypatch.setattr(LI, "COLUMNS", 37)
+    model = LI.KernelModel.fit([LI.ngrams(t) for t in texts], names)
+    grams = [{t.encode()[i : i + n] for n in LI.ORDERS for i in range(len(t) - n + 1)} for t in texts]
+    marks = [i for c in "xyz" for i in [j for j, n in enumerate(names) if n == c][:8]]
+    known = set().union(*[grams[i] for i in marks])
+    kernel = lambda a, b: len(a & b & known) / np.sqrt(len(a & known) * len(b & known))
+    inner = np.array([[kernel(grams[i], grams[j]) for j in marks] for i in marks])
+    value, vector = np.linalg.eigh(inner)
+    good = value > 1e-6 * value[-1]
+    cross = np.array([[kernel(g, grams[j]) for j in marks] for g in grams])
+    features = cross @ (vector[:, good] / np.sqrt(value[good]))
+    target = np.array([[1.0 if n == c else -1.0 for c in "xyz"] for n in names])
+    ridge = np.linalg.solve(3 * features.T @ features + LI.RIDGE * 60 * np.eye(features.shape[1]), 3 * features.T @ target)
+    want = features @ ridge
+    got, score = model.predict(texts)
+    assert got == ["xyz"[i] for i in want.argmax(1)]
+    power = np.exp(LI.SHARPNESS * want)
+    assert np.allclose(score, (power / power.sum(1, keepdims=True)).max(1), atol=1e-3)
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(LI, "ALL_ROWS", 500)
+    monkeypatch.setattr(LI, "ALL_LANDMARKS", 300)
+    rows = [(3 * k + i, f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} " * 9, f"l{k}") for k in range(250) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = LI.train(frame)
+    assert len(model.languages) == 250
+    assert model.predict([rows[3 * k][1] for k in range(250)])[0] == [f"l{k}" for k in range(250)]
+
+
 def test_language_training_rows(spark, monkeypatch):
     rows = [(i, f"the cat and the dog {i}", "en") for i in range(20)] + [(i, f"le chat et le chien {i}", "fr") for i in range(20)]
     rows += [(None, f"le chien {i}", "en") for i in range(500)]  # without an id: never learned from
