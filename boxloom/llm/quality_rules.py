@@ -2,42 +2,57 @@
 
 Base rule: a text fails with fewer than 50 words, or if over half of its words stand in three-word windows that occur
 twice or more in it.  Of the rest, each stratum (language and source) gets minimum-covariance-determinant estimates of
-centre and covariance of the transformed statistics: from medians and absolute deviations, ``STEPS`` concentration
-steps each take the ``SHARE`` of rows with the smallest Mahalanobis distance and re-estimate.  A row is rejected if its
-squared distance, scaled so that the stratum's median is that of the chi-square law, is above ``CUTOFF``.
-
-Statistics are ratios with ``PRIOR`` words of a plain text added, so that short texts are not outliers by chance, and
-``FLOORS`` bound each standard deviation from below, so that a statistic that is constant in a stratum does not
-reject small deviations.  Strata with fewer than ``LEAST`` rows are pooled by language, such pools by all.
-
-Everything runs in DataFrame expressions; medians and quantiles are ``percentile_approx`` sketches, so no stratum is
-gathered in one task.
+centre and covariance of the transformed statistics.  There are three deterministic starts: the stratum's medians and absolute
+deviations, those of its language, and mean and covariance of all its rows.  Each takes two concentration steps, which
+re-estimate from the ``SHARE`` of rows with the smallest Mahalanobis distance; the start of least determinant goes on
+until its determinant falls no more.  A row is rejected if its squared distance is above ``CUTOFF``.  Where the median of a
+stratum's distances is above that of the chi-square law, they are scaled down to it; they are never scaled up, as they
+are small where floors make them so.
+
+No stratum is pooled and none is judged differently for its size: every estimate is mixed with ``WEIGHT`` rows of a plain target, the medians
+and deviations of the stratum's language, themselves mixed with as many rows of those of all (a regularized
+minimum covariance determinant).  Statistics are ratios with ``PRIOR`` words of a plain text added, so that short texts are not
+outliers by chance, and the squares of ``FLOORS`` are added to the variances, so that a statistic that is constant in a
+stratum does not reject small deviations.
+
+Everything runs in DataFrame expressions.  Statistics are whole multiples of 1 / ``GRID``, so that all sums are exact and
+no result depends on how rows are dealt; up to 2e10 rows of a stratum fit the sums.  Quantiles are taken from counts of
+distances by bins of ``1 / BINS`` of a doubling, medians from counts of equal values, so no stratum is gathered in one task.
 
 Defined results: a null or blank text has no words and fails the base rule; null languages and sources are strata of
-their own; repeated rows are judged alike; an empty table gives an empty result; columns named in ``keep`` are passed on.
+their own; repeated rows are judged alike, and rows at equal distance (ties at the quantile) are all taken or none; a text of any length is
+counted whole by one task; an empty table gives an empty result; columns named in ``keep`` are passed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, stored, table, words
+from .common import SPACES, intermediate, is_small, join_with_hot_keys, kept, stored, table, words
 
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!?;:\"'()[]{}~=_^@\\/"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 #: Words of a plain text that are added to each text, and their mean length.
 PRIOR, PRIOR_LENGTH = 100.0, 5.0
-#: Statistics with the smallest standard deviation that counts.
-FLOORS = {"log_words": 0.25, "word_length": 0.15, "symbols": 0.03, "dup_lines": 0.10, "repeats": 0.10, "capitals": 0.05, "punctuation": 0.05}
+#: Statistics with the standard deviation that is added to each.
+FLOORS = {"log_words": 0.25, "word_length": 0.03, "symbols": 0.03, "dup_lines": 0.10, "repeats": 0.10, "capitals": 0.05, "punctuation": 0.05}
 NAMES = list(FLOORS)
-SHARE, STEPS, LEAST = 0.75, 4, 500
+N = len(NAMES)
+PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
+GRID, BINS = 1024, 16
+SHARE, WEIGHT = 0.75, 50.0
+#: Variance of a normal law over that of its inner ``SHARE`` in seven dimensions; deviation over median absolute deviation.
+CONSISTENCY, NORMAL = 1.325, 1.4826
 #: Median, and quantile at 1 - 1e-6, of the chi-square law with seven degrees of freedom.
 CHI_MEDIAN, CUTOFF = 6.346, 40.52
-SKETCH = 10_000
+#: A determinant has fallen if its logarithm did by so much.
+LEAST_FALL = 1e-3
+#: Estimates of so many strata are sent to every executor.
+BROADCAST_STRATA = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Up to so many different repeated windows, their places are found by search; beyond, by a sort.  Both give the same.
 FEW = 16
@@ -99,91 +114,168 @@ def with_vector(df: DataFrame) -> DataFrame:
     chars = F.col("word_chars") + PRIOR * PRIOR_LENGTH
     vector = {
         "log_words": F.log(F.col("n_words") + 1.0),
-        "word_length": chars / n,
+        "word_length": F.log(chars / n),
         "symbols": F.sqrt(F.col("n_symbols") / chars),
         "dup_lines": F.sqrt(F.col("n_dup_lines") / (F.col("__lines") + 5.0)),
         "repeats": F.sqrt(F.col("n_repeat_words") / n),
         "capitals": F.sqrt(F.col("__capitals") / chars),
         "punctuation": F.sqrt(F.col("__punctuation") / chars),
     }
-    return df.withColumns({k: v.cast("double") for k, v in vector.items()})
+    return df.withColumns({k: F.round(v * GRID).cast("long") for k, v in vector.items()})
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words").cast("long") > 50 * F.col("n_words").cast("long"))
 
 
-def with_stratum(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """``rows`` with ``stratum``: language and source, or what small strata are pooled into."""
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    own, pool = F.struct(part(lang).alias("lang"), part(source).alias("source")), F.lit("*")
-    sizes = rows.where("not base_failed").select(own.alias("own")).groupBy("own").count()
-    small = F.col("count") < LEAST
-    first = sizes.select("own", F.when(small, F.struct(F.col("own.lang").alias("lang"), pool.alias("source"))).otherwise(F.col("own")).alias("pooled"), "count")
-    pools = first.groupBy("pooled").agg(F.sum("count").alias("count"))
-    second = pools.select("pooled", F.when(small, F.struct(pool.alias("lang"), pool.alias("source"))).otherwise(F.col("pooled")).alias("stratum"))
-    names = first.join(second, "pooled").select("own", "stratum")
-    return rows.withColumn("own", own).join(broadcast_if_small(stored(names, "strata")), "own", "left").drop("own")
+def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Lower median of ``value`` for each key, from rows (keys, value, n)."""
+    order = Window.partitionBy(*keys).orderBy("value")
+    ranked = counts.select(*keys, "value", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
+    return ranked.where(2 * F.col("upto") >= F.col("all")).groupBy(*keys).agg(F.min("value").alias("median"), F.first("all").alias("all"))
+
+
+def centres(counts: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Arrays ``centre`` and ``spread`` (median, squared deviation) and ``rows`` for each key; counts: (keys,
+    name, value, n) with the number of the statistic as name."""
+    keyed = [*keys, "name"]
+    counts = counts.groupBy(*keyed, "value").agg(F.sum("n").alias("n"))
+    middle = kept(medians(counts, keyed), f"medians-{tag}")
+    away = counts.join(middle.drop("all"), keyed).withColumn("value", F.abs(F.col("value") - F.col("median"))).drop("median")
+    both = middle.join(medians(away, keyed).select(*keyed, F.col("median").alias("away")), keyed)
+    spread = F.pow(F.col("away") * (NORMAL / GRID), F.lit(2.0))
+    ordered = both.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("name", (F.col("median") / GRID).alias("c"), spread.alias("s")))).alias("x"), F.first("all").alias("rows"))  # as many entries as statistics
+    return ordered.select(*keys, F.col("x.c").alias("centre"), F.col("x.s").alias("spread"), "rows")
 
 
-def pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+def mixed(own: Column, target: Column, w: Column) -> Column:
+    return w * own + (1 - w) * target
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Mean m0.. and Cholesky factor c00.. of the floored covariance, for each stratum."""
+def targets(counts: DataFrame) -> DataFrame:
+    """For each language, its centre ``tc`` and spread ``ts``, mixed with ``WEIGHT`` rows of those of all."""
+    languages = centres(counts, ["lang"], "language").crossJoin(F.broadcast(centres(counts.withColumn("one", F.lit(1)), ["one"], "all").select(F.col("centre").alias("ac"), F.col("spread").alias("as"))))  # one row
+    w = F.col("rows") / (F.col("rows") + WEIGHT)
+    between = F.transform(F.zip_with("centre", "ac", lambda a, b: (a - b) * (a - b)), lambda x: x * w * (1 - w))
+    spread = F.zip_with(F.zip_with("spread", "as", lambda a, b: mixed(a, b, w)), between, lambda a, b: a + b)
+    return languages.select("lang", F.zip_with("centre", "ac", lambda a, b: mixed(a, b, w)).alias("tc"), spread.alias("ts"))
+
+
+def sums() -> list[Column]:
     x = [F.col(c) for c in NAMES]
-    sums = rows.groupBy("stratum").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"s{i}_{j}") for i, j in pairs()])
-    out = sums
-    for i, j in pairs():  # row by row; each entry needs only those before it
-        done = sum((F.col(f"c{i}_{k}") * F.col(f"c{j}_{k}") for k in range(j)), F.lit(0.0))
-        if i == j:
-            floor = FLOORS[NAMES[i]] ** 2
-            entry = F.sqrt(F.greatest(F.col(f"s{i}_{i}") + floor - done, F.lit(floor)))
-        else:
-            entry = (F.col(f"s{i}_{j}") - done) / F.col(f"c{j}_{j}")
-        out = out.withColumn(f"c{i}_{j}", entry)
-    return out.select("stratum", *[f"m{i}" for i in range(len(NAMES))], *[f"c{i}_{j}" for i, j in pairs()])
-
-
-def with_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """``rows`` with the squared Mahalanobis distance ``d2``, by forward substitution."""
-    out = rows.join(fit, "stratum", "left")
+    return [F.count("*").alias("n"), *[F.sum(c).alias(f"u{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"v{i}_{j}") for i, j in PAIRS]]
+
+
+def factored(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with m0.. and the Cholesky factor c00.. of the covariances s0_0.., to whose diagonal the floors are added,
+    and ``logdet``."""
+    out = rows
+    for j in range(N):  # column by column; each needs only those before it
+        done = lambda i: sum((F.col(f"c{i}_{k}") * F.col(f"c{j}_{k}") for k in range(j)), F.lit(0.0))  # noqa: B023, E731
+        floor = FLOORS[NAMES[j]] ** 2
+        out = out.withColumn(f"c{j}_{j}", F.sqrt(F.greatest(F.col(f"s{j}_{j}") + floor - done(j), F.lit(floor))))
+        if j < N - 1:
+            out = out.withColumns({f"c{i}_{j}": (F.col(f"s{i}_{j}") - done(i)) / F.col(f"c{j}_{j}") for i in range(j + 1, N)})
+    logdet = 2 * sum((F.log(f"c{i}_{i}") for i in range(N)), F.lit(0.0))
+    return out.select(*keep, logdet.alias("logdet"), *[f"m{i}" for i in range(N)], *[f"c{i}_{j}" for i, j in PAIRS])
+
+
+def estimates(summed: DataFrame, keep: list[str], factor: float) -> DataFrame:
+    """Estimates from ``sums`` (covariances times ``factor``), mixed with the target tc, ts; ``rows``: the stratum's."""
+    w = F.col("rows") / (F.col("rows") + WEIGHT)
+    mean = [F.col(f"u{i}") / F.col("n") / GRID for i in range(N)]
+    first = summed.select(*keep, "tc", "ts", w.alias("w"), *[x.alias(f"o{i}") for i, x in enumerate(mean)], *[(F.col(f"v{i}_{j}") / F.col("n") / (GRID * GRID) - mean[i] * mean[j]).alias(f"p{i}_{j}") for i, j in PAIRS])
+    target = lambda c, i: F.get(c, F.lit(i))
+    off = lambda i: F.col(f"o{i}") - target("tc", i)
+    own = F.col("w")
+    centre = [mixed(F.col(f"o{i}"), target("tc", i), own).alias(f"m{i}") for i in range(N)]
+    cov = [(own * factor * F.col(f"p{i}_{j}") + own * (1 - own) * off(i) * off(j) + ((1 - own) * target("ts", i) if i == j else F.lit(0.0))).alias(f"s{i}_{j}") for i, j in PAIRS]
+    return factored(first.select(*keep, *centre, *cov), keep)
+
+
+def diagonal(rows: DataFrame, centre: str, spread: str, keep: list[str]) -> DataFrame:
+    """Estimates with independent statistics, from arrays."""
+    parts = [*[F.get(centre, F.lit(i)).alias(f"m{i}") for i in range(N)], *[(F.get(spread, F.lit(i)) if i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i, j in PAIRS]]
+    return factored(rows.select(*keep, *parts), keep)
+
+
+def with_fit(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(fit), "stratum", how) if is_small(fit, BROADCAST_STRATA) else join_with_hot_keys(rows, fit, "stratum", how=how)
+
+
+def with_distance(rows: DataFrame) -> DataFrame:
+    """``rows``, joined with their fit, with the squared Mahalanobis distance ``d2``, by forward substitution."""
     for i, name in enumerate(NAMES):
         done = sum((F.col(f"c{i}_{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"z{i}", (F.col(name) - F.col(f"m{i}") - done) / F.col(f"c{i}_{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(NAMES))), F.lit(0.0))
-    return out.withColumn("d2", d2).select(*rows.columns, "d2")
+        rows = rows.withColumn(f"z{i}", (F.col(name) / GRID - F.col(f"m{i}") - done) / F.col(f"c{i}_{i}"))
+    return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(N)), F.lit(0.0)))
+
+
+def concentrated(rows: DataFrame, fit: DataFrame, strata: DataFrame) -> DataFrame:
+    """A concentration step of each (stratum, start) of ``fit``: new estimates, the median bin of the distances and the
+    old determinant."""
+    keys = ["stratum", "start"]
+    near = with_distance(with_fit(rows, fit)).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * BINS))
+    binned = near.groupBy(*keys, "bin").agg(*sums())
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
+    ranked = binned.withColumns({"all": total, "upto": upto})
+    inner = F.col("upto") - F.col("n") < F.col("all") * SHARE
+    added = [F.sum(F.when(inner, F.col(c))).alias(c) for c in ("n", *[f"u{i}" for i in range(N)], *[f"v{i}_{j}" for i, j in PAIRS])]
+    summed = ranked.groupBy(*keys).agg(*added, F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin"))).alias("middle"))
+    summed = summed.join(strata.select("stratum", "rows", "tc", "ts"), "stratum").join(fit.select(*keys, F.col("logdet").alias("before")), keys)
+    return estimates(summed, [*keys, "middle", "before"], CONSISTENCY)
 
 
 def fitted(rows: DataFrame) -> DataFrame:
-    """Estimates for each stratum, with ``scale`` from squared distance to chi-square."""
-    percentile = lambda c, at: F.percentile_approx(c, F.lit(at), F.lit(SKETCH))
-    small = lambda df, tag: broadcast_if_small(stored(df, tag))
-    centre = small(rows.groupBy("stratum").agg(*[percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(NAMES)]), "medians")
-    spread = rows.join(centre, "stratum").groupBy("stratum").agg(*[percentile(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, c in enumerate(NAMES)])
-    start = centre.join(spread, "stratum")
-    # 1.4826: from the median absolute deviation to the standard deviation of a normal law
-    factor = [(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOORS[NAMES[i]])) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in pairs()]
-    fit = small(start.select("stratum", *[f"m{i}" for i in range(len(NAMES))], *factor), "estimates")
-    for _ in range(STEPS):
-        near = with_distance(rows, fit)
-        limit = small(near.groupBy("stratum").agg(percentile("d2", SHARE).alias("limit")), "limits")
-        fit = small(estimates(near.join(limit, "stratum").where("d2 <= limit")), "estimates")
-    scale = with_distance(rows, fit).groupBy("stratum").agg((F.lit(CHI_MEDIAN) / F.greatest(percentile("d2", 0.5), F.lit(1e-9))).alias("scale"))
-    return small(fit.join(scale.withColumn("scale", F.least("scale", F.lit(1.0))), "stratum"), "estimates")
+    """Estimates of least determinant for each stratum, with ``scale`` from squared distance to chi-square.  Every step
+    writes its estimates, a row per stratum, so that plans stay short."""
+    names = F.array(*[F.struct(F.lit(i).alias("name"), F.col(c).alias("value")) for i, c in enumerate(NAMES)])
+    counts = stored(rows.select("stratum", F.inline(names)).groupBy("stratum", "name", "value").agg(F.count("*").alias("n")), "value-counts")
+    aims = targets(counts.select(F.col("stratum.lang").alias("lang"), "name", "value", "n"))
+    whole = rows.groupBy("stratum").agg(*sums())
+    strata = centres(counts, ["stratum"], "stratum").withColumn("lang", F.col("stratum.lang")).join(aims, "lang")
+    strata = stored(strata.join(whole, "stratum"), "strata")
+    w = F.col("rows") / (F.col("rows") + WEIGHT)
+    own = strata.withColumns({"oc": F.zip_with("centre", "tc", lambda a, b: mixed(a, b, w)), "os": F.zip_with("spread", "ts", lambda a, b: mixed(a, b, w))})
+    starts = diagonal(own.withColumn("start", F.lit(0)), "oc", "os", ["stratum", "start"])
+    starts = starts.union(diagonal(strata.withColumn("start", F.lit(1)), "tc", "ts", ["stratum", "start"]))
+    starts = starts.union(estimates(strata.withColumn("start", F.lit(2)), ["stratum", "start"], 1.0))
+    fit = stored(starts, "estimates")
+    fit = stored(concentrated(rows, fit, strata), "estimates")
+    fit = stored(concentrated(rows, fit, strata), "estimates")
+    best = fit.groupBy("stratum").agg(F.min(F.struct("logdet", "start")).alias("best")).select("stratum", "best.start")
+    fit = stored(fit.join(best, ["stratum", "start"]), "estimates")
+    done = None
+    while not fit.isEmpty():
+        step = stored(concentrated(rows.join(F.broadcast(fit.select("stratum")), "stratum", "left_semi") if done is not None and is_small(fit) else rows, fit, strata), "estimates")
+        falls = F.col("logdet") < F.col("before") - LEAST_FALL
+        # the step's median is that of distances under the estimates before it, which are final if it lowers nothing
+        ended = fit.join(step.where(~falls).select("stratum", F.col("middle").alias("median")), "stratum")
+        scale = F.least(F.lit(1.0), F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), (F.col("median") + 1) / BINS))
+        ended = stored(ended.withColumn("scale", scale).drop("start", "middle", "before", "median", "logdet"), "estimates")
+        done = ended if done is None else done.union(ended)
+        fit = step.where(falls)
+    return rows.sparkSession.createDataFrame([], "stratum struct<lang:string,source:string>") if done is None else done
 
 
 def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The columns ``keep`` of each row, the base counts, base_failed, distance and kept."""
+    spark = df.sparkSession
     names = [c for c in keep if c not in (*COUNTS, "base_failed", "distance", "kept")]
-    kept = F.struct(*names) if names else F.lit(None).cast("struct<x:int>")  # out of reach of the names used here
-    plain = df.select(kept.alias("__kept"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), F.col(source).alias("__source"))
+    passed = F.struct(*names) if names else F.lit(None).cast("struct<x:int>")  # out of reach of the names used here
+    plain = df.select(passed.alias("__kept"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), F.col(source).alias("__source"))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    stratum = F.struct(part("__lang").alias("lang"), part("__source").alias("source"))
     counted = with_vector(with_counts(plain, "__text"))
-    rows = stored(counted.select("__kept", "__lang", "__source", *COUNTS, *NAMES, base_failed().alias("base_failed")), "statistics")
-    rows = with_stratum(rows, "__lang", "__source")
-    fit = fitted(rows.where("not base_failed and stratum is not null").select("stratum", *NAMES))
-    judged = with_distance(rows, fit.drop("scale")).join(broadcast_if_small(fit.select("stratum", "scale")), "stratum", "left")
+    rows = stored(counted.select("__kept", stratum.alias("stratum"), *COUNTS, *NAMES, base_failed().alias("base_failed")), "statistics")
+    good = rows.where("not base_failed").select("stratum", *NAMES)
+    if good.isEmpty():
+        judged = rows.withColumns({"d2": F.lit(None).cast("double"), "scale": F.lit(1.0)})
+    else:
+        with intermediate(spark):
+            fit = kept(fitted(good), "estimates")
+        judged = with_distance(with_fit(rows, fit, "left"))
     distance = F.col("d2") * F.col("scale")
     out = [F.col(f"__kept.`{c}`").alias(c) for c in names]
     return judged.select(*out, *[F.col(c).cast("long").alias(c) for c in COUNTS], "base_failed", distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))

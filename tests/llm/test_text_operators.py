@@ -401,6 +401,89 @@ def test_outliers_are_rejected(spark):
     assert QR.quality_rules(docs(spark, rows).limit(0), ["doc_id"]).count() == 0
 
 
+def vector(text):
+    """The transformed statistics as whole multiples of 1 / GRID, by their definitions."""
+    n, chars, symbols, dups, repeats = counts(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n"))
+    of = lambda signs: sum(c in signs for c in text)
+    m, c = n + QR.PRIOR, chars + QR.PRIOR * QR.PRIOR_LENGTH
+    x = [np.log(n + 1.0), np.log(c / m), np.sqrt(symbols / c), np.sqrt(dups / (lines + 5.0)), np.sqrt(repeats / m), np.sqrt(of(QR.CAPITALS) / c), np.sqrt(of(QR.PUNCTUATION) / c)]
+    return np.floor(np.array(x) * QR.GRID + 0.5) / QR.GRID
+
+
+def lower_median(x):
+    return np.sort(x, axis=0)[(len(x) - 1) // 2]
+
+
+def true_distances(languages, strata, x):
+    """Squared distances under the regularized estimates of least determinant, each stratum for itself."""
+    floors = np.diag(np.array(list(QR.FLOORS.values())) ** 2)
+    spread = lambda y: (lower_median(np.abs(y - lower_median(y))) * QR.NORMAL) ** 2
+    out = np.zeros(len(x))
+    everything = (lower_median(x), spread(x))
+    for s in sorted(set(strata)):
+        rows = np.array([z == s for z in strata])
+        mine, same = x[rows], x[np.array([z == s[0] for z in languages])]
+        w = len(same) / (len(same) + QR.WEIGHT)
+        centre, variance = lower_median(same), spread(same)
+        target = w * centre + (1 - w) * everything[0]
+        width = w * variance + (1 - w) * everything[1] + w * (1 - w) * (centre - everything[0]) ** 2
+        w = len(mine) / (len(mine) + QR.WEIGHT)
+
+        def mix(y, factor, w=w, target=target, width=width):
+            m = y.mean(0)
+            off = m - target
+            return w * m + (1 - w) * target, w * factor * ((y - m).T @ (y - m) / len(y)) + w * (1 - w) * np.outer(off, off) + (1 - w) * np.diag(width) + floors
+
+        def distance(fit, y):
+            return np.einsum("ij,jk,ik->i", y - fit[0], np.linalg.inv(fit[1]), y - fit[0])
+
+        def bins(fit, mine=mine):
+            return np.floor(np.log2(distance(fit, mine) + 2.0**-10) * QR.BINS)
+
+        def step(fit, mine=mine):
+            b = bins(fit)
+            order = np.sort(b)
+            limit = order[int(np.ceil(QR.SHARE * len(b))) - 1]
+            return mix(mine[b <= limit], QR.CONSISTENCY)
+
+        det = lambda fit: np.linalg.slogdet(fit[1])[1]
+        own = (w * lower_median(mine) + (1 - w) * target, np.diag(w * spread(mine) + (1 - w) * width) + floors)
+        starts = [own, (target, np.diag(width) + floors), mix(mine, 1.0)]
+        fit = min((step(step(f)) for f in starts), key=det)
+        while det(new := step(fit)) < det(fit) - QR.LEAST_FALL:
+            fit = new
+        median = lower_median(bins(fit))
+        out[rows] = distance(fit, mine) * min(1.0, QR.CHI_MEDIAN / 2 ** ((median + 1) / QR.BINS))
+    return out
+
+
+def test_distances_equal_direct_computation(spark):
+    """Three languages and sources, one stratum with a fifth of junk, one of a single row."""
+    r = random.Random(6)
+    rows = []
+    for i in range(420):
+        lang, source = ("en", "s1") if i % 7 < 3 else ("en", "s2") if i % 7 < 5 else ("fr", "s1") if i % 7 < 6 else ("fr", None)
+        text = prose(i, r.randint(55, 300))
+        if i % 5 == 0:
+            text = "\n".join([text, "Once More! The Same Line, Again", "Once More! The Same Line, Again"])
+        if (lang, source) == ("en", "s2") and r.random() < 0.2:
+            text = " ".join(w + "***" for w in text.split())
+        rows.append((i, text, lang, source, 0))
+    rows.append((1000, prose(5, 80), None, "alone", 0))
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {x["doc_id"]: x for x in QR.quality_rules(frame.repartition(3), ["doc_id"]).collect()}
+    again = {x["doc_id"]: x for x in QR.quality_rules(frame.repartition(7, "text"), ["doc_id"]).collect()}
+    assert got == again  # whatever the partitions
+    assert not any(x["base_failed"] for x in got.values())
+    name = lambda v: "null" if v is None else "=" + v
+    want = true_distances([name(x[2]) for x in rows], [(name(x[2]), name(x[3])) for x in rows], np.array([vector(x[1]) for x in rows]))
+    for x, d in zip(rows, want, strict=True):
+        assert got[x[0]]["distance"] == pytest.approx(d, rel=1e-6) and got[x[0]]["kept"] == (d <= QR.CUTOFF)
+    junk = [x[0] for x in rows if "***" in x[1]]
+    assert len(junk) > 15 and not any(got[i]["kept"] for i in junk) and got[1000]["kept"]
+
+
 def test_strata_with_null_names(spark):
     frame = docs(spark, [(i, prose(i, 80)) for i in range(30)]).withColumns({"lang": F.lit(None).cast("string"), "source": F.when(F.col("doc_id") % 2 == 0, "a")})
     assert QR.quality_rules(frame, frame.columns).where("kept").count() == 30
