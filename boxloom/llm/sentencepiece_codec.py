@@ -11,7 +11,8 @@ algebra, for both kinds of model that a model file can hold:
 Texts of up to ``CHUNK`` characters are encoded in one map.  Longer ones are cut into chunks of ``CHUNK`` characters,
 wherever that falls, which are dealt over the cluster.  A boundary state is the piece that reaches or crosses a
 boundary, with the number of its characters before it.  Each chunk yields the max-plus matrix from its left to its
-right boundary states; the product of a document's matrices gives the states on the best path; then each chunk is
+right boundary states.  Matrices of ``FAN`` neighbours are multiplied, then such products, and so on up a tree until one
+matrix is left of each document; down the tree, the states at the ends of a product give those between its factors; then each chunk is
 backtraced on its own.  Between two places that no piece of the vocabulary spans (a blank after a non-blank, a line
 break), the matrix has rank one and only the two ends of the chunk matter.
 
@@ -19,7 +20,7 @@ Normalization: models with an identity normalizer are supported (blanks become U
 are refused.  Results equal the sentencepiece library's.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a literal U+2581 decodes to a blank,
-as in the library; repeated rows are each encoded; an empty table gives an empty result; all other columns are kept,
+as in the library; of equally good paths that by the smallest states is taken; repeated rows are each encoded; an empty table gives an empty result; all other columns are kept,
 an existing column with the output's name is replaced.
 """
 
@@ -29,6 +30,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ from pyspark.sql import types as T
 from .common import bound_batches, stored, table
 
 CHUNK = 65_536
+#: Matrices that one task multiplies.
+FAN = 64
 BLANK = "▁"
 #: Cached units of a worker; the cache is emptied when it is full, which changes no result.
 CACHE_UNITS = 200_000
@@ -342,9 +346,9 @@ class Encoder(dict):
         return ints(v.trace(s, at, piece, first)) + middle + ints(v.trace(s, last, START, stop) + closing)
 
 
-def best_states(matrices: list[dict[tuple[int, int], float]]) -> list[tuple[int, int]]:
-    """(entry, exit) of each chunk on the best path: matrices multiplied from the left, then traced from the end."""
-    row, back = {START: 0.0}, []
+def best_states(matrices: list[dict[tuple[int, int], float]], first: int = START, last: int = END) -> list[tuple[int, int]]:
+    """(entry, exit) of each matrix on the best path between two states."""
+    row, back = {first: 0.0}, []
     for m in matrices:
         new: dict[int, tuple[float, int]] = {}
         for (a, b), w in sorted(m.items()):
@@ -352,7 +356,7 @@ def best_states(matrices: list[dict[tuple[int, int], float]]) -> list[tuple[int,
                 new[b] = (row[a] + w, a)
         back.append({b: a for b, (_, a) in new.items()})
         row = {b: w for b, (w, _) in new.items()}
-    out, at = [], END
+    out, at = [], last
     for step in reversed(back):
         out.append((step[at], at))
         at = step[at]
@@ -372,6 +376,38 @@ def product(a: dict[tuple[int, int], float], b: dict[tuple[int, int], float]) ->
     return out
 
 
+def entries_of(entries, exits, weights) -> dict[tuple[int, int], float]:
+    return dict(zip(zip(map(int, entries), map(int, exits), strict=True), weights, strict=True))
+
+
+def path_states(matrices: DataFrame) -> DataFrame:
+    """(__row, place, entry, leaving) of each matrix (__row, place, entries, exits, weights) on the best path of its row.
+    Each level of the tree is written; its number of rows is that of the level below over ``FAN``."""
+
+    def multiply(of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values("place")
+        whole = reduce(product, map(entries_of, of["entries"], of["exits"], of["weights"]))
+        keys = sorted(whole)
+        return pd.DataFrame({"__row": of["__row"].iloc[:1].to_numpy(), "place": of["parent"].iloc[:1].to_numpy(), "entries": [[a for a, _ in keys]], "exits": [[b for _, b in keys]], "weights": [[whole[k] for k in keys]]})
+
+    def divide(of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values("place")
+        states = best_states(list(map(entries_of, of["entries"], of["exits"], of["weights"])), of["entry"].iloc[0], of["leaving"].iloc[0])
+        return pd.DataFrame({"__row": of["__row"].to_numpy(), "place": of["place"].to_numpy(), "entry": [a for a, _ in states], "leaving": [b for _, b in states]})
+
+    kind = "__row long, place long, entries array<long>, exits array<long>, weights array<double>"
+    levels = [stored(matrices, "matrices")]
+    while not levels[-1].where("place > 0").isEmpty():
+        above = levels[-1].withColumn("parent", F.expr(f"place div {FAN}"))
+        levels.append(stored(above.groupBy("__row", "parent").applyInPandas(multiply, kind), "matrices"))
+    states = levels[-1].select("__row", "place", F.lit(START).cast("long").alias("entry"), F.lit(END).cast("long").alias("leaving"))
+    for below in reversed(levels[:-1]):
+        parents = states.withColumnRenamed("place", "parent")
+        placed = below.withColumn("parent", F.expr(f"place div {FAN}")).join(parents, ["__row", "parent"])
+        states = stored(placed.groupBy("__row", "parent").applyInPandas(divide, "__row long, place long, entry long, leaving long"), "states")
+    return states
+
+
 def split(text: str, longest: int, size: int = CHUNK) -> Iterator[tuple[int, str, str, str]]:
     s = BLANK + text.replace(" ", BLANK)
     for k, at in enumerate(range(0, len(s), size)):
@@ -433,13 +469,14 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids_array(parts)], [*batch.schema.names, ids])
 
     short = df.where(~is_long).mapInArrow(encode, out)
-    long = stored(df.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long-texts")
+    # in a struct, the columns are out of reach of the names used here
+    long = stored(df.where(is_long).select(F.struct(*df.columns).alias("__kept"), F.monotonically_increasing_id().alias("__row")), "long-texts")
     if long.isEmpty():
         return short
 
     def cut(batches):
         for batch in small_batches(batches, 8):
-            for row, x in zip(batch["__row"].to_pylist(), batch[text].to_pylist(), strict=True):
+            for row, x in zip(batch["__row"].to_pylist(), batch["__text"].to_pylist(), strict=True):
                 rows = list(split(x, longest, chunk))
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.string()) for i in range(4))], ["__row", "__chunk", "left", "body", "right"])
 
@@ -447,12 +484,7 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
         code = encoder(model)
         for batch in small_batches(batches, 8):
             rows = [code.matrix(x["left"], x["body"], x["right"]) for x in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"], pa.array([[k[0] for k in m] for m in rows], pa.list_(pa.int64())), pa.array([[k[1] for k in m] for m in rows], pa.list_(pa.int64())), pa.array([list(m.values()) for m in rows], pa.list_(pa.float64()))], ["__row", "__chunk", "entries", "exits", "weights"])
-
-    def combine(of: pd.DataFrame) -> pd.DataFrame:
-        of = of.sort_values("__chunk")
-        states = best_states([dict(zip(zip(map(int, a), map(int, b), strict=True), c, strict=True)) for a, b, c in zip(of["entries"], of["exits"], of["weights"], strict=True)])
-        return pd.DataFrame({"__row": of["__row"].to_numpy(), "__chunk": of["__chunk"].to_numpy(), "entry": [a for a, _ in states], "leaving": [b for _, b in states]})
+            yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"].cast(pa.int64()), pa.array([[k[0] for k in m] for m in rows], pa.list_(pa.int64())), pa.array([[k[1] for k in m] for m in rows], pa.list_(pa.int64())), pa.array([list(m.values()) for m in rows], pa.list_(pa.float64()))], ["__row", "place", "entries", "exits", "weights"])
 
     def backtrace(batches):
         with encoding(model) as code:
@@ -460,12 +492,12 @@ def sentencepiece_encode(df: DataFrame, model: str, text: str = "text", ids: str
                 parts = [code.chunk(x["left"], x["body"], x["right"], x["entry"], x["leaving"]) for x in batch.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch["__row"], batch["__chunk"], ids_array(parts)], ["__row", "__chunk", "ids"])
 
-    chunks = long.select("__row", text).mapInArrow(cut, "__row long, __chunk int, left string, body string, right string").repartition("__row", "__chunk")
-    matrices = chunks.mapInArrow(transfer, "__row long, __chunk int, entries array<long>, exits array<long>, weights array<double>")
-    states = matrices.groupBy("__row").applyInPandas(combine, "__row long, __chunk int, entry long, leaving long")
+    chunks = long.select("__row", F.col(f"__kept.`{text}`").alias("__text")).mapInArrow(cut, "__row long, __chunk int, left string, body string, right string").repartition("__row", "__chunk")
+    states = path_states(chunks.mapInArrow(transfer, "__row long, place long, entries array<long>, exits array<long>, weights array<double>"))
+    states = states.withColumn("__chunk", F.col("place").cast("int")).drop("place")
     coded = chunks.join(states, ["__row", "__chunk"]).mapInArrow(backtrace, "__row long, __chunk int, ids array<int>")
     whole = coded.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__chunk", "ids"))).alias("parts")).select("__row", F.flatten("parts.ids").alias(ids))
-    return short.unionByName(long.join(whole, "__row").drop("__row"))
+    return short.unionByName(long.join(whole, "__row").select(*[F.col(f"__kept.`{c}`").alias(c) for c in df.columns], ids))
 
 
 def sentencepiece_decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
