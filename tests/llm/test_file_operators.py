@@ -86,9 +86,21 @@ def test_products_are_associative():
     assert left.keys() == right.keys() and all(left[k] == pytest.approx(right[k]) for k in left)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_tree_of_products_gives_the_states_of_the_fold(spark, library, monkeypatch, fan):
+    monkeypatch.setattr(SP, "FAN", fan)
+    code, texts = SP.encoder(SP.default_model()), [*random_texts(6, 9), "x" * 700, "http://www.example.com/antidisestablishment" * 9, "a"]
+    matrices = [[code.matrix(*c[1:]) for c in SP.split(t, code.v.longest, 40)] for t in texts]
+    rows = [(i, k, [a for a, _ in m], [b for _, b in m], list(m.values())) for i, ms in enumerate(matrices) for k, m in enumerate(ms)]
+    frame = spark.createDataFrame(rows, "__row long, place long, entries array<long>, exits array<long>, weights array<double>").repartition(5)
+    got = sorted(tuple(r[c] for c in ("__row", "place", "entry", "leaving")) for r in SP.path_states(frame).collect())
+    assert got == [(i, k, a, b) for i, ms in enumerate(matrices) for k, (a, b) in enumerate(SP.best_states(ms))]
+    assert max(map(len, matrices)) > 9
+
+
 def test_spark_round_trip(spark, library):
     texts = [*ODD, *random_texts(30), "long text " * 3000, "long text " * 3000, "x" * 2000]
-    rows = spark.createDataFrame([(i % 5, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    rows = spark.createDataFrame([(i % 5, t, "old", i, i) for i, t in enumerate(texts)], "doc_id long, text string, ids string, __row long, __chunk long")
     coded = SP.sentencepiece_encode(rows, SP.default_model(), chunk=256)
     got = SP.sentencepiece_decode(coded, SP.default_model()).collect()
     want = sorted((i % 5, t or "", library.encode(t) if t else []) for i, t in enumerate(texts))

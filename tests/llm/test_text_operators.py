@@ -116,15 +116,16 @@ def test_sharding(spark):
 
 
 def tokens(text):
-    return [x for x in re.split(r"[^\w]+|_+", (text or "").lower()) if x]
+    text = re.sub("([\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0e7f])", r" \1 ", (text or "").lower())
+    return [x for x in re.split(r"[^\w\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]+|_+", text) if x]
 
 
 def overlap(a, b):
     """Brute force of the definition."""
-    n = DC.SPAN if len(b) >= DC.SPAN else len(b)
-    need = DC.NEED if len(b) >= DC.SPAN else n
+    n = min(DC.SPAN, len(b))
+    need = DC.NEED if n == DC.SPAN else n - 1 if n >= DC.ONE_CHANGE else n
     if n < DC.SHORTEST:
-        return False
+        return n > 0 and a == b
     return any(sum(x == y for x, y in zip(a[i : i + n], b[j : j + n], strict=False)) >= need for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
 
 
@@ -133,21 +134,30 @@ def test_masks_miss_nothing():
         for j in range(DC.SPAN):
             classes = [not {i, j} & set(c) for c in DC.CLASSES]
             assert any(all(classes[c] for c in mask) for mask in DC.MASKS)
+    for n in range(DC.ONE_CHANGE, DC.SPAN):
+        classes, masks = DC.masked(n)
+        assert sorted(k for c in classes for k in c) == list(range(n))
+        assert all(any(i not in classes[c] for (c,) in masks) for i in range(n))
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("seeds", [300_000, 10])
+def test_decontamination_equals_brute_force(spark, monkeypatch, seeds):
+    monkeypatch.setattr(DC, "BROADCAST_SEEDS", seeds)  # 10: blocks of hashes, then a join of the hits
+    monkeypatch.setattr(DC, "BLOCK_SEEDS", 200)
+    monkeypatch.setattr(CO, "HOT_ROWS", 20)
     r = random.Random(4)
-    items = [(k, prose(100 + k, n)) for k, n in enumerate([3, 5, 9, 13, 20, 60])] + [(90, None), (91, ""), (92, prose(103, 13))]
-    rows = [(None, items[4][1]), (0, None), (1, ""), (2, "  \n")]
+    items = [(k, prose(100 + k, n)) for k, n in enumerate([3, 5, 9, 13, 20, 60])] + [(90, None), (91, ""), (92, prose(103, 13)), (93, "Yes"), (94, "一二三四五六七八九十百千万"), (95, prose(7, 4)), (96, prose(8, 12)), (97, prose(9, 8))]
+    rows = [(None, items[4][1]), (0, None), (1, ""), (2, "  \n"), (3, "yes!"), (4, "yes yes"), (5, items[0][1].upper()), (6, items[0][1] + " more"), (7, "前一二三四五七七八九十百千万後"), (8, "一二三四五 六七八"), (9, items[11][1])]
+    rows += [(600 + k, " ".join(["before"] * k + ["changed" if j == k else w for j, w in enumerate(items[12 + k % 2][1].split())] + ["after"])) for k in range(12)]
     for k in range(60):
         words = prose(k, 40).split()
-        _, text = r.choice(items[:6])
+        _, text = r.choice(items[1:6])
         inserted = text.split()
         for _ in range(r.randrange(4)):
             inserted[r.randrange(len(inserted))] = "changed"
         words[20:20] = [w.upper() + r.choice(["", ",", "!"]) for w in inserted]
         rows.append((10 + k, " ".join(words)))
-    rows += [(11, rows[5][1]), (500, prose(7, 30_000) + " " + items[5][1])]
+    rows += [(11, rows[30][1]), (500, prose(7, 30_000) + " " + items[5][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     frame = docs(spark, rows, True)
     got = {(x["key"], x["item_id"]) for x in DC.overlaps(frame, benchmark).collect()}
