@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op2_url_filters": url_filters.OP2_SQL,
+    "op3_sharding": sharding.OP3_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
