@@ -8,16 +8,21 @@ of the full payload, also in a revisit, whose block ends after the HTTP headers.
 Of the records with equal payloads of at least ``least`` bytes, that with the smallest page is the response and the
 others revisit it; smaller payloads are always responses.
 
+The reader also takes archives of others: records of all types, HTTP bodies in chunks or without a length, folded
+header lines, digests of other algorithms or none.  Columns that a record does not give are null; the payload of a
+request or response is its HTTP body, that of other records their block.
+
 Defined results: a null html is an empty payload; a null url leaves out the target header; line breaks in a url are
 percent-encoded; a null page revisits the smallest page that is not null, and is a response if there is none; rows that
-repeat the smallest page are all responses; an empty table gives no files and an empty result.  A malformed
-archive raises :class:`WarcError`.
+repeat the smallest page (ties) are all responses; a payload of any length is one record, held whole by one task; an empty table gives no files and an empty result.  A malformed
+archive raises :class:`WarcError` and nothing else.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -27,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, fresh_path, stored, table
+from .common import bound_batches, fresh_path, is_small, join_with_hot_keys, stored, table
 from .files import make_folder, reading, task_file, writing
 
 #: Magic numbers of the format (fixed values).
@@ -75,40 +80,92 @@ def record(page, url, payload: bytes, refers_to=None) -> bytes:
 
 
 def fields(head: bytes) -> dict[str, str]:
-    out = {}
-    for line in head.decode().split("\r\n")[1:]:
+    """Header lines after the first, by lower-case name; a line that begins with a blank continues the one before."""
+    out, name = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise WarcError(f"not a header: {line[:80]!r}")
-        out[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        out[name] = value.strip()
     return out
 
 
+def whole_number(of: dict[str, str], name: str) -> int | None:
+    value = of.get(name)
+    if value is None:
+        return None
+    if not re.fullmatch(r"-?[0-9]{1,19}", value) or not -(1 << 63) <= int(value) < 1 << 63:
+        raise WarcError(f"{name} is no number: {value[:80]!r}")
+    return int(value)
+
+
+def agrees(claimed: str, data: bytes) -> bool:
+    """Whether a digest ``algorithm:value``, in base 32 or 16, is that of the data; unknown algorithms are not checked."""
+    algorithm, _, value = claimed.partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    found = hashlib.new(algorithm, data).digest()
+    return value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=") or value.lower() == found.hex()
+
+
+def body_of_chunks(data: bytes) -> bytes:
+    """An HTTP body without its chunk frames."""
+    parts, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = data[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            raise WarcError("a chunk without its size")
+        n, at = int(size, 16), end + 2
+        if n == 0:
+            return b"".join(parts)
+        if data[at + n : at + n + 2] != b"\r\n":
+            raise WarcError("a chunk is cut short")
+        parts.append(data[at : at + n])
+        at += n + 2
+
+
 def parse(data: bytes) -> dict:
     """A record's columns, after checks of version, headers, lengths and digests."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+    if not gap or not re.match(rb"WARC/[01]\.[0-9]+\r\n", head):
         raise WarcError("no WARC header")
     of = fields(head)
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in of:
             raise WarcError(f"no {name}")
-    block = rest[: int(of["content-length"])]
-    if len(block) != int(of["content-length"]) or rest[len(block) :] != b"\r\n\r\n":
+    kind, length, cut = of["warc-type"].lower(), whole_number(of, "content-length"), "warc-truncated" in of
+    block = rest[: max(0, length)]
+    if len(block) != length or rest[len(block) :] != b"\r\n\r\n":
         raise WarcError("the block's length differs from Content-Length")
-    if "warc-block-digest" in of and of["warc-block-digest"] != f"sha1:{digest(block)}":
+    if not agrees(of.get("warc-block-digest", ""), block):
         raise WarcError("the block's digest differs")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    if not gap:
-        raise WarcError("no HTTP header")
-    n, kind = int(fields(http)["content-length"]), of["warc-type"]
-    claimed = of["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != n or digest(payload) != claimed):
-        raise WarcError("the payload's length or digest differs")
-    if kind == "revisit" and (payload or "refers-to-page-id" not in of):
-        raise WarcError("a revisit with a payload or without a target")
-    number = lambda name: int(of[name]) if name in of else None
-    return {"page_id": number("page-id"), "url": of.get("warc-target-uri"), "record_type": kind, "payload_bytes": n, "payload_digest": claimed, "refers_to": number("refers-to-page-id"), "payload": payload if kind == "response" else None}
+    payload, size, raw = block, len(block), None
+    if kind in ("request", "response", "revisit") and of.get("content-type", "application/http").lower().startswith("application/http"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap and kind != "revisit":
+            raise WarcError("no HTTP header")
+        lines = fields(http) if http else {}
+        size = whole_number(lines, "content-length")
+        if "chunked" in lines.get("transfer-encoding", "").lower() and not cut:
+            raw, payload, size = payload, body_of_chunks(payload), None
+        if kind != "revisit":
+            if size not in (None, len(payload)) and not cut:
+                raise WarcError("the payload's length differs")
+            size = len(payload)
+    claimed = of.get("warc-payload-digest")
+    if kind == "revisit":
+        if payload or not (claimed or "warc-refers-to" in of):
+            raise WarcError("a revisit with a payload or without a target")
+    elif claimed and not cut and not agrees(claimed, payload) and not (raw is not None and agrees(claimed, raw)):
+        raise WarcError("the payload's digest differs")
+    known = claimed.partition(":")[2] if claimed else None if kind == "revisit" else digest(payload)
+    return {"page_id": whole_number(of, "page-id"), "url": of.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": known, "refers_to": whole_number(of, "refers-to-page-id"), "payload": None if kind == "revisit" else payload}
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -147,9 +204,15 @@ def load(source) -> Iterator[bytes]:
         if len(data) != struct.unpack("<I", head[4:])[0]:
             raise WarcError("the dictionary is cut short")
         if data[:4] == FRAME:  # a compressed dictionary
-            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            try:
+                data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            except zstandard.ZstdError as e:
+                raise WarcError(str(e)) from e
         trained, head = zstandard.ZstdCompressionDict(data), b""
-    unpacker = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
+    try:
+        unpacker = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
+    except zstandard.ZstdError as e:
+        raise WarcError(str(e)) from e
     rest = head
     while True:
         frame, parts = unpacker.decompressobj(), []
@@ -172,8 +235,11 @@ def with_first(df: DataFrame, page: str, html: str, least: int) -> DataFrame:
     payload = F.coalesce(F.col(html), F.lit(""))
     keyed = df.select(F.col(page).alias("page"), payload.alias("html"), "url", F.sha1(payload.cast("binary")).alias("sha"))
     sizes = df.select(F.col(page).alias("page"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("n"))
-    shared = sizes.where(F.col("n") >= least).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return keyed.join(broadcast_if_small(stored(shared, "warc-shared")), "sha", "left")
+    shared = sizes.where(F.col("n") >= least).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("size")).where("size > 1")
+    shared = stored(shared, "warc-shared")
+    if is_small(shared):
+        return keyed.join(F.broadcast(shared.select("sha", "first")), "sha", "left")
+    return join_with_hot_keys(keyed, shared.select("sha", "first"), "sha", shared.select("sha", "size"), "left")
 
 
 def write_warc(df: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:

@@ -203,6 +203,79 @@ def test_warc_dictionary_and_faults():
             WA.parse(bad)
 
 
+def foreign(kind, block, *lines, version="1.0"):
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *lines]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_archives_of_others():
+    """Records that other writers make: all types, chunked bodies, other digests, folded lines, cut records."""
+    import base64
+    import hashlib
+
+    http = "Content-Type: application/http; msgtype=response"
+    body = b"<p>some text</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX: a\r\n b\r\n\r\n5;x=y\r\n<p>so\r\nb\r\nme text</p>\r\n0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    sha256 = "sha256:" + hashlib.sha256(body).hexdigest()
+    md5 = "md5:" + base64.b32encode(hashlib.md5(body).digest()).decode()
+    cases = [
+        (foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), "warcinfo", b"software: x\r\n"),
+        (foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://h/"), "request", b""),
+        (foreign("metadata", b"a: b"), "metadata", b"a: b"),
+        (foreign("resource", b"\x00\xff", version="1.1"), "resource", b"\x00\xff"),
+        (foreign("response", chunked, http), "response", body),
+        (foreign("response", chunked, http, "WARC-Payload-Digest: " + sha256), "response", body),
+        (foreign("response", plain, http, "WARC-Payload-Digest: " + md5), "response", body),
+        (foreign("response", plain, http, "WARC-Payload-Digest: blake9:zz"), "response", body),
+        (foreign("response", plain.replace(b"OK", b"OK\r\nContent-Length: 99"), http, "WARC-Truncated: length"), "response", body),
+        (foreign("response", b"dns data", "Content-Type: text/dns"), "response", b"dns data"),
+        (foreign("revisit", b"", http, "WARC-Refers-To: <urn:uuid:2>"), "revisit", None),
+    ]
+    for data, kind, payload in cases:
+        got = WA.parse(data)
+        assert (got["record_type"], got["payload"]) == (kind, payload), data
+        assert kind == "revisit" or (got["payload_bytes"] == len(payload) and got["payload_digest"])
+    records = list(WA.load(io.BytesIO(archive([c[0] for c in cases]))))
+    assert [WA.parse(x)["record_type"] for x in records] == [c[1] for c in cases]
+    faults = [
+        foreign("response", plain.replace(b"OK", b"OK\r\nContent-Length: many"), http),
+        foreign("response", plain.replace(b"OK", b"OK\r\nContent-Length: 99"), http),
+        foreign("response", chunked[:-9], http), foreign("response", b"no header", http), foreign("response", plain.replace(b"OK", b"OK\r\nno colon"), http),
+        foreign("response", plain, http, "WARC-Payload-Digest: " + sha256[:-1]), foreign("metadata", b"x", "Page-ID: x1"), foreign("metadata", b"x", "Page-ID: " + "9" * 30),
+        foreign("metadata", b"x").replace(b"Content-Length: 1", b"Content-Length: -1"), foreign("revisit", b"", http), b"", b"WARC/1.0\r\n\r\n", bytes(range(256)),
+    ]
+    for data in faults:
+        with pytest.raises(WA.WarcError):
+            WA.parse(data)
+    r = random.Random(2)
+    whole = archive([c[0] for c in cases] * 40)
+    for _ in range(300):  # damage of any kind raises WarcError alone
+        bad = bytearray(whole if r.random() < 0.5 else r.choice(cases)[0])
+        for _ in range(r.randint(1, 4)):
+            bad[r.randrange(len(bad))] = r.randrange(256)
+        try:
+            for x in WA.load(io.BytesIO(bytes(bad))) if bad[:1] != b"W" else [bytes(bad)]:
+                WA.parse(x)
+        except WA.WarcError:
+            pass
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_warc_of_hot_payloads(spark, monkeypatch, rows):
+    """Most pages hold one payload; also where the shared payloads are too many for a broadcast."""
+    from boxloom.llm import common as CO
+
+    monkeypatch.setattr(WA, "is_small", lambda df: CO.is_small(df, rows))
+    monkeypatch.setattr(CO, "HOT_ROWS", 10)
+    htmls = ["same" if i % 3 else f"page {i % 4}" for i in range(90)]
+    frame = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in WA.read_warc(WA.write_warc(frame, fresh_path(spark, "warc"))).collect()}
+    for i, h in enumerate(htmls):
+        first = htmls.index(h)
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if first == i else ("revisit", first))
+
+
 # --- HTML extraction
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav>

@@ -4,6 +4,7 @@ edge cases (nulls, empty and long texts, ties, repeated rows, empty tables, othe
 import collections
 import random
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -112,6 +113,18 @@ def test_sharding(spark):
     assert SH.shard_documents(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_sharding_of_hot_keys(spark, monkeypatch):
+    """Equal rows and rows of one key get slots of their own, in several tasks where they are many."""
+    monkeypatch.setattr(SH, "RUN", 7)
+    rows = [(5, "same")] * 100 + [(6, f"text {i}") for i in range(50)] + [(None, "none")] * 8 + [(i, "x") for i in range(20)]
+    got = SH.shard_documents(docs(spark, rows)).toPandas()
+    assert len(got) == len(rows) and (got["text_crc32"] == zlib.crc32(b"same")).sum() == 100
+    assert all(sorted(part["slot"]) == list(range(len(part))) for _, part in got.groupby("shard"))
+    for n, column in ((SH.SHARDS, "shard"), (SH.SHARDS + 1, "grown_shard")):
+        by = got["doc_id"].fillna(got["text_crc32"]).astype("int64")
+        assert got[column].tolist() == [jump(int(k), n) for k in by]
+
+
 # --- decontamination
 
 
