@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,20 +110,30 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def hot_keys(sizes: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of ``sizes`` (key, size) with more than ``rows`` rows, or None if there are none, or so many that the
+    rows are dealt well by key."""
+    hot = stored(sizes.where(F.col("size") > rows).select(key), "hot-keys")
+    return hot if 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+
+
+def join_hot(rows: DataFrame, info: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``info``, a row per key ("inner", "left" or "left_semi").  The entries of hot keys are sent to
+    the rows, whose tasks keep them; the rest is joined by key.  Rows without a key are not gathered either."""
+    parts = [] if hot is None else [rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(info.join(F.broadcast(hot), key, "left_semi")), key, how)]
+    cold = rows if hot is None else rows.join(F.broadcast(hot), key, "left_anti")
+    if how == "left":
+        parts.append(cold.where(F.col(key).isNull()).join(F.broadcast(info.limit(0)), key, "left"))
+    parts.append(cold.where(F.col(key).isNotNull()).join(info, key, how))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def join_with_hot_keys(rows: DataFrame, info: DataFrame, key: str, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``info`` on ``key`` ("inner" or "left").  The entries of keys with more than ``HOT_ROWS`` rows
-    are sent to the rows, whose tasks keep them; the rest is joined by key.  ``sizes``: (key, size) if it is known.
-    Should so many keys be hot that their entries are not small, they are enough to be dealt by key like the others."""
-    if sizes is None:
-        sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    hot = stored(sizes.where(F.col("size") > HOT_ROWS).select(key), "hot-keys")
-    if hot.isEmpty() or not is_small(hot):
-        return rows.join(info, key, how)
-    theirs = info.join(F.broadcast(hot), key, "left_semi")
-    if not is_small(theirs):
-        return rows.join(info, key, how)
-    ours = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(theirs), key, how)
-    return rows.join(F.broadcast(hot), key, "left_anti").join(info, key, how).unionByName(ours)
+    """The same where hot keys are yet to be found and ``info`` may hold several rows of a key."""
+    hot = hot_keys(rows.groupBy(key).agg(F.count("*").alias("size")) if sizes is None else sizes, key)
+    if hot is not None and not is_small(info.join(F.broadcast(hot), key, "left_semi")):
+        hot = None
+    return join_hot(rows, info, key, hot, how)
 
 
 def lower_ascii(column):

@@ -18,10 +18,15 @@ component it meets.  Where a leader has more than one block, the same filter fir
 Every two similar sets share a signature and so a leader, and are either in one component or compared: the components
 are those of the full join.  :func:`jaccard_links` gives all its links: there every set counts as a component.
 
+Signatures, leaders, shingles and roots that hold many rows are not gathered: rows of signatures that a sample of sets shows
+to be hot are dealt to several tasks by set, and what is joined to hot keys is sent to their rows.  The sample decides
+on tasks alone, never on results.
+
 Sets are identified by 64-bit hashes of their shingles' 64-bit hashes.
 
 Defined results: a text with fewer words than ``k`` is one shingle; without words or text a document has no shingles,
-links with nothing and is its own component; repeated rows link with each other; a row without an id belongs to its
+links with nothing and is its own component; repeated rows link with each other; a similarity of exactly the threshold
+(a tie) links; a text of any length is one set, which one task reads; a row without an id belongs to its
 component, whose id is the smallest that is not null; an empty table gives an empty result; other columns are not read.
 """
 
@@ -34,10 +39,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, release, stored, table
+from .common import HOT_ROWS, bound_batches, broadcast_if_small, hot_keys, intermediate, is_small, join_hot, kept, release, stored, table
 
 #: Defaults of near-duplicate operators: five words, similarity 0.8.
 WORDS, THRESHOLD = 5, Fraction(4, 5)
@@ -49,6 +54,10 @@ ROWS, COLUMNS = 256, 4_096
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0x5851F42D4C957F2D)
 FLUSH = 1 << 19  # signatures in a batch
+#: A text in so many is looked at to find hot signatures, whose rows are dealt in parts of ``PART`` sets.
+SAMPLED, PART = 64, 50_000
+#: Edges up to which a step of :func:`contract` is so small that hot nodes do not matter.
+FEW_EDGES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -163,12 +172,14 @@ class Joiner:
 
         return run
 
-    def emitted(self) -> DataFrame:
-        """Rows (signature, set).  A task emits a set that it has just seen only once."""
-        k, t, ends = self.k, self.t, np.array(bands(self.t))
+    def schemes(self) -> dict[int, tuple[int, int, int]]:
         counts = self.keys.where("n > 0").groupBy("band").agg(F.count_distinct("set").alias("sets")).collect()  # a row per band, of which there are at most 300
         sets = {r["band"]: r["sets"] for r in counts}
-        schemes = {b: scheme(t, b, sets.get(b, 0) + sets.get(b + 1, 0)) for b in {x for r in sets for x in (r, r - 1) if x >= 0}}
+        return {b: scheme(self.t, b, sets.get(b, 0) + sets.get(b + 1, 0)) for b in {x for r in sets for x in (r, r - 1) if x >= 0}}
+
+    def emitted(self, docs: DataFrame, schemes: dict[int, tuple[int, int, int]]) -> DataFrame:
+        """Rows (signature, set).  A task emits a set that it has just seen only once."""
+        k, t, ends = self.k, self.t, np.array(bands(self.t))
 
         def run(batches):
             seen: set[int] = set()
@@ -198,22 +209,34 @@ class Joiner:
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], ["signature", "set"])
 
-        return self.docs.select("text").mapInArrow(run, "signature long, set long")
+        return docs.select("text").mapInArrow(run, "signature long, set long")
 
     def shared(self) -> DataFrame:
-        """Rows (signature, set), each once, of signatures that several sets have."""
-        order = Window.partitionBy("signature").orderBy("set")
+        """Rows (signature, set), each once, of signatures that several sets have (or the sample found hot)."""
+        schemes = self.schemes()
+        sample = self.docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+        seen = self.emitted(sample, schemes).distinct().groupBy("signature").agg(F.count("*").alias("size"))
+        hot = stored(seen.where(F.col("size") * SAMPLED > PART).select("signature", F.ceil(F.col("size") * SAMPLED / PART).alias("parts")), "hot-signatures")
+        rows = self.emitted(self.docs, schemes)
+        by, is_hot = ["signature"], F.lit(False)
+        if not hot.isEmpty():  # at most as many as the sample's signatures over PART / SAMPLED
+            rows = rows.join(F.broadcast(hot), "signature", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("set"), F.col("parts")), F.lit(0)))
+            by, is_hot = ["signature", "part"], F.col("parts").isNotNull()
+        order = Window.partitionBy(*by).orderBy("set")
         ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = self.emitted().select("*", F.first("set").over(ends).alias("first"), F.last("set").over(ends).alias("last"), F.lag("set").over(order).alias("before"))
-        return stored(rows.where((F.col("first") != F.col("last")) & (F.col("before").isNull() | (F.col("before") != F.col("set")))).select("signature", "set"), "shared-signatures")
+        rows = rows.select("*", F.first("set").over(ends).alias("first"), F.last("set").over(ends).alias("last"), F.lag("set").over(order).alias("before"))
+        several = is_hot | (F.col("first") != F.col("last"))
+        return stored(rows.where(several & (F.col("before").isNull() | (F.col("before") != F.col("set")))).select("signature", "set"), "shared-signatures")
 
     def led(self) -> DataFrame:
         """Distinct pairs (a, b) of a leader and another set of its signatures."""
         rows = self.shared()
-        sizes = rows.groupBy("signature").agg(F.count("*").alias("size"))
-        company = rows.join(sizes, "signature").groupBy("set").agg(F.sum("size").alias("company"))
+        sizes = stored(rows.groupBy("signature").agg(F.count("*").alias("size")), "signature-sizes")
+        hot = hot_keys(sizes, "signature")
+        company = join_hot(rows, sizes, "signature", hot).groupBy("set").agg(F.sum("size").alias("company"))
         leaders = rows.join(company, "set").groupBy("signature").agg(F.max(F.struct("company", "set")).alias("top")).select("signature", F.col("top.set").alias("a"))
-        return stored(rows.join(leaders, "signature").where("set <> a").select("a", F.col("set").alias("b")).distinct(), "leader-pairs")
+        leaders = leaders if hot is None else stored(leaders, "leaders")
+        return stored(join_hot(rows, leaders, "signature", hot).where("set <> a").select("a", F.col("set").alias("b")).distinct(), "leader-pairs")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(set, n, shingles) of each set in ``wanted``, from one document of each."""
@@ -243,10 +266,11 @@ class Joiner:
         with its sets to a task, or to several, each with a part of them."""
         num, den = self.t.numerator, self.t.denominator
         sizes = sets.select("set", "n")
-        fit = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+        hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("size")), "a")
+        fit = join_hot(pairs, sizes.toDF("a", "n_a"), "a", hot).join(sizes.toDF("b", "n_b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
         most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.max("n_b"))))
         parts = fit.groupBy("a").agg(F.ceil(F.count("*") / most).alias("parts"))
-        own = fit.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("set"))
+        own = join_hot(fit, parts, "a", hot).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("set"))
         first = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("set"))
         dealt = stored(own.unionByName(first), "dealt-pairs")
 
@@ -293,7 +317,9 @@ class Joiner:
         groups = pairs.select(F.col("a").alias("leader"), F.col("b").alias("set")).union(pairs.select("a", "a").distinct())
         placed = with_roots(groups, roots)
         several = placed.groupBy("leader").agg((F.min("root") != F.max("root")).alias("several"), F.count("*").alias("members")).where("several").select("leader", "members")
-        left = stored(placed.join(broadcast_if_small(stored(several, "open-leaders")), "leader").join(sets.select("set", "n"), "set"), "open-groups")
+        several = stored(several, "open-leaders")
+        hot = hot_keys(several.select("leader", F.col("members").alias("size")), "leader")
+        left = stored(join_hot(placed, several, "leader", hot).join(sets.select("set", "n"), "set"), "open-groups")
         many = left.where(F.col("members") > BLOCK_SETS)
         if not many.isEmpty():
             for _ in range(2):  # sets that go may leave others without company
@@ -307,8 +333,9 @@ class Joiner:
         num, den = self.t.numerator, self.t.denominator
         named = stored(groups.select("set", "root").distinct(), "open-sets")
         rows = sets.join(broadcast_if_small(named), "set").select("set", "root", "n", F.explode("shingles").alias("shingle"))
-        across = rows.groupBy("shingle").agg((F.min("root") != F.max("root")).alias("across")).where("across").select("shingle")
-        company = rows.join(across, "shingle", "left_semi").groupBy("set").agg(F.count("*").alias("company"), F.first("n").alias("n"))
+        across = rows.groupBy("shingle").agg((F.min("root") != F.max("root")).alias("across"), F.count("*").alias("size")).where("across").select("shingle", "size")
+        across = stored(across, "shared-shingles")
+        company = join_hot(rows, across.select("shingle"), "shingle", hot_keys(across, "shingle", HOT_ROWS // 10), "left_semi").groupBy("set").agg(F.count("*").alias("company"), F.first("n").alias("n"))
         able = stored(company.where(F.col("company") * den >= F.col("n") * num).select("set", "n"), "able-sets")
         return stored(groups.drop("n").join(broadcast_if_small(able), "set"), "open-groups")
 
@@ -316,11 +343,11 @@ class Joiner:
         """Links (a, b) between sets of a leader that lie in different components."""
         t = self.t
         groups = groups.select("leader", "set", "root", "n")
-        place = F.row_number().over(Window.partitionBy("leader").orderBy("root", "set")) - 1
         sizes = groups.groupBy("leader").agg(F.count("*").alias("members"), F.max("n").alias("most"))
         block = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
-        dealt = groups.withColumn("place", place).join(sizes.withColumn("block", block), "leader")
-        dealt = dealt.withColumns({"own": F.floor(F.col("place") / F.col("block")), "blocks": F.ceil(F.col("members") / F.col("block"))})
+        sizes = stored(sizes.select("leader", "members", F.ceil(F.col("members") / block).alias("blocks")), "leader-sizes")
+        hot = hot_keys(sizes.select("leader", F.col("members").alias("size")), "leader")
+        dealt = join_hot(groups, sizes, "leader", hot).withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")))
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
         placed = stored(dealt.withColumn("pair", F.explode(others)).select("leader", "pair.i", "pair.j", "own", "set", "root"), "block-pairs")
         placed = sets.select("set", "shingles").join(broadcast_if_small(placed), "set")
@@ -374,7 +401,8 @@ def block_links(ids, roots, row, shingle, size, left, right, t: Fraction) -> tup
             out[k, at[(at >= first) & (at < first + COLUMNS)] - first] = 1
         return out
 
-    lefts, rights = np.flatnonzero(left & alive), np.flatnonzero(right & alive)
+    by_root = np.argsort(roots, kind="stable")  # so that factors of one component can be left out
+    lefts, rights = by_root[(left & alive)[by_root]], by_root[(right & alive)[by_root]]
     for i in range(0, len(lefts), ROWS):
         x = lefts[i : i + ROWS]
         for j in range(0, len(rights), ROWS):
@@ -403,12 +431,20 @@ def contract(links: DataFrame) -> DataFrame:
     Each step writes its edges, so its plan stays short; a hub is never gathered, only its smallest neighbour."""
     edges = stored(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct(), "edges")
     before = None
+
+    def with_least(rows: DataFrame, least: Column) -> DataFrame:
+        known = rows.groupBy("x").agg(least.alias("m"), F.count("*").alias("size"))
+        if few:
+            return rows.join(known.drop("size"), "x")
+        known = stored(known, "least-neighbours")
+        return join_hot(rows, known.drop("size"), "x", hot_keys(known.select("x", "size"), "x"))
+
     while True:
+        few = is_small(edges, FEW_EDGES)
         both = edges.union(edges.select("y", "x"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x")
+        large = with_least(both, F.least(F.min("y"), F.col("x"))).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = large if few else stored(large, "edges")
+        small = with_least(large, F.min("y"))
         edges = stored(small.select("x", F.col("m").alias("y")).union(small.where("y <> m").select("y", "m")).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
@@ -418,11 +454,13 @@ def contract(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: Fraction = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles and component_id, the smallest key reachable by links."""
-    join = Joiner(docs, k, Fraction(threshold), key, text)
-    placed = stored(with_roots(join.keys, join.components()).select("key", "n", "root"), "placed")
-    least = placed.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
-    named = placed.join(least, "root", "left")
-    return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
+    with intermediate(docs.sparkSession):
+        join = Joiner(docs, k, Fraction(threshold), key, text)
+        placed = stored(with_roots(join.keys, join.components()).select("key", "n", "root"), "placed")
+        least = stored(placed.where("root is not null").groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("size")), "components")
+        named = join_hot(placed, least.drop("size"), "root", hot_keys(least.select("root", "size"), "root", HOT_ROWS // 10), "left")
+        component = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("least"))
+        return kept(named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")), "components")
 
 
 def jaccard_links(docs: DataFrame, k: int = WORDS, threshold: Fraction = THRESHOLD, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

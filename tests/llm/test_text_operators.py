@@ -226,7 +226,11 @@ def edited(text, seed, edits):
 
 @pytest.mark.parametrize(("k", "t", "block"), [(4, Fraction(85, 100), 2048), (5, Fraction(4, 5), 2048), (4, Fraction(85, 100), 16)])
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, k, t, block):
-    monkeypatch.setattr(JJ, "BLOCK_SETS", block)  # 16: several blocks
+    monkeypatch.setattr(JJ, "BLOCK_SETS", block)  # 16: several blocks, and hot signatures, leaders, shingles and nodes
+    if block == 16:
+        for module, name, value in ((JJ, "SAMPLED", 2), (JJ, "PART", 8), (JJ, "FEW_EDGES", 20), (JJ, "HOT_ROWS", 100)):
+            monkeypatch.setattr(module, name, value)
+        monkeypatch.setattr(JJ, "hot_keys", lambda sizes, key, rows=10: CO.hot_keys(sizes, key, rows))
     source, passage = prose(1, 150, 10**6), prose(2, 60, 10**6)
     rows = [(i, edited(source, i, 1 + i % 9)) for i in range(60)]  # copies on both sides of the threshold
     rows += [(100 + i, prose(i, 30) + " " + passage) for i in range(40)]  # one passage in unlike documents
