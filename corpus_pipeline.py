@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import broadcast_if_small, stored, table
+from boxloom.llm.common import broadcast_if_small, delete, fresh_path, intermediate, stored, table
 from boxloom.llm.decontamination import without_overlaps
 from boxloom.llm.jaccard_join import jaccard_components
 from boxloom.llm.language_id import predict, train
@@ -70,9 +70,15 @@ STAGES = [("quality_rules", quality), ("language_id", language), ("jaccard_join"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's result is written; what it was made from is deleted then, so one copy of the corpus is kept."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        with intermediate(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, [before])
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
