@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest table, in rows, that is sent whole to every executor.
 BROADCAST_ROWS = 1_000_000
 #: Rows from which on a key is hot: its rows are joined where they are, not gathered by key.
-HOT_ROWS = 10_000
+HOT_ROWS = 1_000
 #: Rows of texts in an Arrow batch.
 BATCH_ROWS = 1_000
 

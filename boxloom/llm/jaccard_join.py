@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, bound_batches, broadcast_if_small, hot_keys, intermediate, is_small, join_hot, kept, release, stored, table
+from .common import bound_batches, broadcast_if_small, hot_keys, intermediate, is_small, join_hot, kept, release, stored, table
 
 #: Defaults of near-duplicate operators: five words, similarity 0.8.
 WORDS, THRESHOLD = 5, Fraction(4, 5)
@@ -335,7 +335,7 @@ class Joiner:
         rows = sets.join(broadcast_if_small(named), "set").select("set", "root", "n", F.explode("shingles").alias("shingle"))
         across = rows.groupBy("shingle").agg((F.min("root") != F.max("root")).alias("across"), F.count("*").alias("size")).where("across").select("shingle", "size")
         across = stored(across, "shared-shingles")
-        company = join_hot(rows, across.select("shingle"), "shingle", hot_keys(across, "shingle", HOT_ROWS // 10), "left_semi").groupBy("set").agg(F.count("*").alias("company"), F.first("n").alias("n"))
+        company = join_hot(rows, across.select("shingle"), "shingle", hot_keys(across, "shingle"), "left_semi").groupBy("set").agg(F.count("*").alias("company"), F.first("n").alias("n"))
         able = stored(company.where(F.col("company") * den >= F.col("n") * num).select("set", "n"), "able-sets")
         return stored(groups.drop("n").join(broadcast_if_small(able), "set"), "open-groups")
 
@@ -458,7 +458,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, threshold: Fraction = TH
         join = Joiner(docs, k, Fraction(threshold), key, text)
         placed = stored(with_roots(join.keys, join.components()).select("key", "n", "root"), "placed")
         least = stored(placed.where("root is not null").groupBy("root").agg(F.min("key").alias("least"), F.count("*").alias("size")), "components")
-        named = join_hot(placed, least.drop("size"), "root", hot_keys(least.select("root", "size"), "root", HOT_ROWS // 10), "left")
+        named = join_hot(placed, least.drop("size"), "root", hot_keys(least.select("root", "size"), "root"), "left")
         component = F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("least"))
         return kept(named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")), "components")
 

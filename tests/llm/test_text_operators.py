@@ -228,7 +228,7 @@ def edited(text, seed, edits):
 def test_jaccard_components_equal_brute_force(spark, monkeypatch, k, t, block):
     monkeypatch.setattr(JJ, "BLOCK_SETS", block)  # 16: several blocks, and hot signatures, leaders, shingles and nodes
     if block == 16:
-        for module, name, value in ((JJ, "SAMPLED", 2), (JJ, "PART", 8), (JJ, "FEW_EDGES", 20), (JJ, "HOT_ROWS", 100)):
+        for module, name, value in ((JJ, "SAMPLED", 2), (JJ, "PART", 8), (JJ, "FEW_EDGES", 20)):
             monkeypatch.setattr(module, name, value)
         monkeypatch.setattr(JJ, "hot_keys", lambda sizes, key, rows=10: CO.hot_keys(sizes, key, rows))
     source, passage = prose(1, 150, 10**6), prose(2, 60, 10**6)
