@@ -166,49 +166,56 @@ def sums() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(c).alias(f"u{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"v{i}_{j}") for i, j in PAIRS]]
 
 
+#: The entries of a lower triangle by rows: their places, and where the rows of i and j begin.
+ENTRIES = "array(" + ", ".join(f"named_struct('at', {at}, 'i', {i}, 'j', {j}, 'r', {i * (i + 1) // 2}, 'q', {j * (j + 1) // 2})" for at, (i, j) in enumerate(PAIRS)) + ")"
+SQUARES = "array(" + ", ".join(f"{x * x!r}D" for x in FLOORS.values()) + ")"
+
+
 def factored(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with m0.. and the Cholesky factor c00.. of the covariances s0_0.., to whose diagonal the floors are added,
-    and ``logdet``."""
-    out = rows
-    for j in range(N):  # column by column; each needs only those before it
-        done = lambda i: sum((F.col(f"c{i}_{k}") * F.col(f"c{j}_{k}") for k in range(j)), F.lit(0.0))  # noqa: B023, E731
-        floor = FLOORS[NAMES[j]] ** 2
-        out = out.withColumn(f"c{j}_{j}", F.sqrt(F.greatest(F.col(f"s{j}_{j}") + floor - done(j), F.lit(floor))))
-        if j < N - 1:
-            out = out.withColumns({f"c{i}_{j}": (F.col(f"s{i}_{j}") - done(i)) / F.col(f"c{j}_{j}") for i in range(j + 1, N)})
-    logdet = 2 * sum((F.log(f"c{i}_{i}") for i in range(N)), F.lit(0.0))
-    return out.select(*keep, logdet.alias("logdet"), *[f"m{i}" for i in range(N)], *[f"c{i}_{j}" for i, j in PAIRS])
+    """``keep`` with the centre ``m``, the inverse ``inv`` of the Cholesky factor of the covariance ``s`` (lower triangle),
+    to whose diagonal the floors are added, and ``logdet``.  Each entry needs only those before it.  These are a few
+    rows for each stratum; lambdas keep their plans and code small."""
+    dot = "aggregate(zip_with(slice(l, e.r + 1, e.j), slice(l, e.q + 1, e.j), (x, y) -> x * y), 0D, (a, x) -> a + x)"
+    entry = f"CASE WHEN e.i = e.j THEN sqrt(greatest(s[e.at] + {SQUARES}[e.i] - {dot}, {SQUARES}[e.i])) ELSE (s[e.at] - {dot}) / l[e.q + e.j] END"
+    lower = rows.withColumn("lower", F.expr(f"aggregate({ENTRIES}, cast(array() AS array<double>), (l, e) -> concat(l, array({entry})))"))
+    above = "aggregate(sequence(e.j, e.i - 1), 0D, (a, k) -> a + lower[e.r + k] * v[cast(k * (k + 1) / 2 AS int) + e.j])"
+    inverse = f"CASE WHEN e.i = e.j THEN 1D / lower[e.r + e.j] ELSE - {above} / lower[e.r + e.i] END"
+    logdet = f"aggregate(sequence(0, {N - 1}), 0D, (a, k) -> a + 2 * ln(lower[cast(k * (k + 3) / 2 AS int)]))"
+    return lower.select(*keep, "m", F.expr(f"aggregate({ENTRIES}, cast(array() AS array<double>), (v, e) -> concat(v, array({inverse})))").alias("inv"), F.expr(logdet).alias("logdet"))
 
 
 def estimates(summed: DataFrame, keep: list[str], factor: float) -> DataFrame:
     """Estimates from ``sums`` (covariances times ``factor``), mixed with the target tc, ts; ``rows``: the stratum's."""
-    w = F.col("rows") / (F.col("rows") + WEIGHT)
-    mean = [F.col(f"u{i}") / F.col("n") / GRID for i in range(N)]
-    first = summed.select(*keep, "tc", "ts", w.alias("w"), *[x.alias(f"o{i}") for i, x in enumerate(mean)], *[(F.col(f"v{i}_{j}") / F.col("n") / (GRID * GRID) - mean[i] * mean[j]).alias(f"p{i}_{j}") for i, j in PAIRS])
-    target = lambda c, i: F.get(c, F.lit(i))
-    off = lambda i: F.col(f"o{i}") - target("tc", i)
-    own = F.col("w")
-    centre = [mixed(F.col(f"o{i}"), target("tc", i), own).alias(f"m{i}") for i in range(N)]
-    cov = [(own * factor * F.col(f"p{i}_{j}") + own * (1 - own) * off(i) * off(j) + ((1 - own) * target("ts", i) if i == j else F.lit(0.0))).alias(f"s{i}_{j}") for i, j in PAIRS]
-    return factored(first.select(*keep, *centre, *cov), keep)
+    u, v = F.array(*[f"u{i}" for i in range(N)]), F.array(*[f"v{i}_{j}" for i, j in PAIRS])
+    first = summed.select(*keep, "tc", "ts", "n", v.alias("v"), (F.col("rows") / (F.col("rows") + WEIGHT)).alias("w"), F.transform(u, lambda x: x / F.col("n") / GRID).alias("o"))
+    own = f"w * {factor!r}D * (v[e.at] / n / {GRID * GRID} - o[e.i] * o[e.j])"
+    between = "w * (1 - w) * (o[e.i] - tc[e.i]) * (o[e.j] - tc[e.j])"
+    cov = F.expr(f"transform({ENTRIES}, e -> {own} + {between} + CASE WHEN e.i = e.j THEN (1 - w) * ts[e.i] ELSE 0D END)")
+    return factored(first.select(*keep, F.expr("zip_with(o, tc, (x, y) -> w * x + (1 - w) * y)").alias("m"), cov.alias("s")), keep)
 
 
 def diagonal(rows: DataFrame, centre: str, spread: str, keep: list[str]) -> DataFrame:
     """Estimates with independent statistics, from arrays."""
-    parts = [*[F.get(centre, F.lit(i)).alias(f"m{i}") for i in range(N)], *[(F.get(spread, F.lit(i)) if i == j else F.lit(0.0)).alias(f"s{i}_{j}") for i, j in PAIRS]]
-    return factored(rows.select(*keep, *parts), keep)
+    return factored(rows.select(*keep, F.col(centre).alias("m"), F.expr(f"transform({ENTRIES}, e -> CASE WHEN e.i = e.j THEN {spread}[e.i] ELSE 0D END)").alias("s")), keep)
+
+
+def known(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows``, none of which lacks a value of ``names``: saying so halves the code that is generated for them."""
+    return rows.where(" and ".join(f"{c} is not null" for c in names))
 
 
 def with_fit(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(fit), "stratum", how) if is_small(fit, BROADCAST_STRATA) else join_with_hot_keys(rows, fit, "stratum", how=how)
+    """``rows`` with the entries of their stratum's estimates as columns."""
+    entries = {f"m{i}": F.get("m", F.lit(i)) for i in range(N)} | {f"w{k}": F.get("inv", F.lit(k)) for k in range(len(PAIRS))}
+    flat = known(fit.select("*", *[v.alias(k) for k, v in entries.items()]).drop("m", "inv"), list(entries))
+    return rows.join(F.broadcast(flat), "stratum", how) if is_small(fit, BROADCAST_STRATA) else join_with_hot_keys(rows, flat, "stratum", how=how)
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
-    """``rows``, joined with their fit, with the squared Mahalanobis distance ``d2``, by forward substitution."""
-    for i, name in enumerate(NAMES):
-        done = sum((F.col(f"c{i}_{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))
-        rows = rows.withColumn(f"z{i}", (F.col(name) / GRID - F.col(f"m{i}") - done) / F.col(f"c{i}_{i}"))
-    return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(N)), F.lit(0.0)))
+    """``rows``, joined with their fit, with the squared Mahalanobis distance ``d2``."""
+    off = rows.withColumns({f"y{i}": F.col(name) / GRID - F.col(f"m{i}") for i, name in enumerate(NAMES)})
+    z = [sum((F.col(f"w{i * (i + 1) // 2 + j}") * F.col(f"y{j}") for j in range(i + 1)), F.lit(0.0)) for i in range(N)]
+    return off.withColumn("d2", sum((F.pow(x, F.lit(2.0)) for x in z), F.lit(0.0)))
 
 
 def concentrated(rows: DataFrame, fit: DataFrame, strata: DataFrame) -> DataFrame:
@@ -219,9 +226,8 @@ def concentrated(rows: DataFrame, fit: DataFrame, strata: DataFrame) -> DataFram
     binned = near.groupBy(*keys, "bin").agg(*sums())
     total = F.sum("n").over(Window.partitionBy(*keys))
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
-    ranked = binned.withColumns({"all": total, "upto": upto})
-    inner = F.col("upto") - F.col("n") < F.col("all") * SHARE
-    added = [F.sum(F.when(inner, F.col(c))).alias(c) for c in ("n", *[f"u{i}" for i in range(N)], *[f"v{i}_{j}" for i, j in PAIRS])]
+    ranked = binned.withColumns({"all": total, "upto": upto}).where(F.col("upto") - F.col("n") < F.col("all") * SHARE)
+    added = [F.sum(c).alias(c) for c in ("n", *[f"u{i}" for i in range(N)], *[f"v{i}_{j}" for i, j in PAIRS])]
     summed = ranked.groupBy(*keys).agg(*added, F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin"))).alias("middle"))
     summed = summed.join(strata.select("stratum", "rows", "tc", "ts"), "stratum").join(fit.select(*keys, F.col("logdet").alias("before")), keys)
     return estimates(summed, [*keys, "middle", "before"], CONSISTENCY)
@@ -269,7 +275,7 @@ def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str
     stratum = F.struct(part("__lang").alias("lang"), part("__source").alias("source"))
     counted = with_vector(with_counts(plain, "__text"))
     rows = stored(counted.select("__kept", stratum.alias("stratum"), *COUNTS, *NAMES, base_failed().alias("base_failed")), "statistics")
-    good = rows.where("not base_failed").select("stratum", *NAMES)
+    good = known(rows.where("not base_failed"), NAMES).select("stratum", *NAMES)
     if good.isEmpty():
         judged = rows.withColumns({"d2": F.lit(None).cast("double"), "scale": F.lit(1.0)})
     else:
