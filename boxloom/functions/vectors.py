@@ -38,6 +38,14 @@ def valid(x: Column, d: int) -> Column:
     return x.isNotNull() & (F.size(x) == d) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
 
 
+def checked(rows, d: int, x: str = "x"):
+    """``rows``, or an error that says how many break the ingest rule (a count over all rows)."""
+    bad = rows.where(~F.coalesce(valid(F.col(x), d), F.lit(False))).count()
+    if bad:
+        raise ValueError(f"{bad} vectors do not have {d} numbers")
+    return rows
+
+
 def norm(x: Column) -> Column:
     return F.sqrt(dot(x, x))
 
@@ -57,8 +65,9 @@ def subspaces(x: Column, parts: list[tuple[int, int]]) -> Column:
     return F.array(*[F.slice(x, first + 1, n) for first, n in parts])
 
 
-def inner_product_sides(x: Column, q: Column, w: Column, p: int) -> tuple[Column, Column]:
-    """Sides whose inner product is minus the weighted L_p distance, for even ``p``."""
+def inner_product_sides(x: Column, q: Column, w: Column, p: int, stored_widths: bool = False) -> tuple[Column, Column]:
+    """Sides whose inner product is minus the weighted L_p distance, for even ``p``.  The widths belong to the query, or
+    to the stored vector with ``stored_widths``."""
     if p % 2:
         raise ValueError("p must be even")
 
@@ -67,6 +76,8 @@ def inner_product_sides(x: Column, q: Column, w: Column, p: int) -> tuple[Column
 
     def term(k: int) -> tuple[Column, Column]:
         weight = F.lit(-float(comb(p, k) * (-1) ** k))
+        if stored_widths:
+            return F.zip_with(x, w, lambda v, r: weight * power(v, p - k) / power(r, p)), F.transform(q, lambda v: power(v, k))
         return F.transform(x, lambda v: weight * power(v, p - k)), F.zip_with(q, w, lambda v, r: power(v, k) / power(r, p))
 
     left, right = (F.concat(*side) for side in zip(*map(term, range(p + 1)), strict=True))

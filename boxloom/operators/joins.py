@@ -1,13 +1,14 @@
 """Box joins of a base table (vec_id, x) with a query table (qid, q, rg[, dims]).
 
 The query side is broadcast only if it is at most ``BROADCAST_QUERIES`` rows.  A larger one is cut into blocks of
-that size, which are joined with the base by block number, so that each task meets one block of each side.  Where the boxes are
-selective in a few dimensions, :func:`grid_search` joins on grid cells instead.
+that size, each of which is broadcast to the base where it lies: the base is read once for each block and never
+shuffled.  Where the boxes are selective in a few dimensions, :func:`grid_search` joins on grid cells instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 
 BROADCAST_QUERIES = 20_000
-BASE_BLOCKS = 64
 
 
 def renewed(rows: DataFrame) -> DataFrame:
@@ -30,10 +30,9 @@ def theta_join(base: DataFrame, queries: DataFrame, condition: Callable[[], Colu
     count = queries.limit(limit + 1).count()
     if count <= limit:
         return base.join(F.broadcast(queries), condition())
-    blocks = -(-queries.count() // limit)
-    left = base.withColumn("__b", F.pmod(F.xxhash64(*base.columns), F.lit(BASE_BLOCKS))).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("__q", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BASE_BLOCKS - 1).cast("long"))))
-    return left.join(right, ["__b", "__q"]).where(condition()).drop("__b", "__q")
+    blocks = -(-2 * queries.count() // limit)  # blocks by hash are of unequal size, half full on average
+    part = F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [base.join(F.broadcast(queries.where(part == k)), condition()) for k in range(blocks)])
 
 
 def interval_search(base: DataFrame, queries: DataFrame, d: int) -> DataFrame:

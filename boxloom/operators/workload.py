@@ -68,17 +68,20 @@ def range_by_percent(values: DataFrame, queries: DataFrame) -> DataFrame:
     return quantiles(pairs, shares).join(queries.select(F.col("qid").alias("i"), "share"), ["i", "share"]).select(F.col("i").alias("qid"), F.col("value").alias("width"))
 
 
-def find_percent(mean_size: Callable[[float], float], target: float, tolerance: float = 0.05, most: int = 64) -> tuple[float, float]:
-    """(percent, mean size): bisection until the mean result size is within the tolerance of the target."""
+def find_percent(mean_size: Callable[[float], float], target: float, tolerance: float = 0.05, most: int = 64, least_step: float = 1e-4) -> tuple[float, float, bool]:
+    """(percent, mean size, reached): bisection until the mean result size is within the tolerance of the target, or the
+    interval is below ``least_step`` or ``most`` steps are over, when ``reached`` is false."""
     low, high = 0.0, 100.0
     percent = size = 0.0
+    reached = False
     for _ in range(most):
         percent = (low + high) / 2
         size = mean_size(percent)
-        if abs(size - target) <= tolerance * target:
+        reached = abs(size - target) <= tolerance * target
+        if reached or high - low < least_step:
             break
         low, high = (percent, high) if size < target else (low, percent)
-    return percent, size
+    return percent, size, reached
 
 
 def hold_out(rows: DataFrame, queries: int, key: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import maintenance as MT
 from ..operators import workload as W
+from ..sources import models as MO
 from ..sources import text as TX
 from ..sources import vecs as VS
 from ..sources.shared import shared_path
@@ -41,21 +42,40 @@ def scan_bvecs(spark, sf):
     return round_trip(spark, rows, "bvecs").withColumn("v", F.col("v").cast("long"))
 
 
-@query("scan_idlist", with_(B, Q, HITS) + "SELECT qid, count(vec_id) AS n, coalesce(CAST(sum(vec_id) AS BIGINT), 0) AS total FROM (SELECT DISTINCT qid FROM q) LEFT JOIN hits USING (qid) GROUP BY qid")
+@query("scan_idlist", with_(B, Q, HITS) + "SELECT qid, vec_id FROM (SELECT DISTINCT qid FROM q) LEFT JOIN hits USING (qid)")
 def scan_idlist(spark, sf):
     q, path = queries(spark, sf), shared_path(spark, "idlist")
     TX.write_id_lists(TX.ragged(q, J.interval_search(base(spark, sf), q, D)), path)
-    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, b: a + b)
-    return TX.read_id_lists(spark, path).select("qid", F.size("ids").cast("long").alias("n"), total.alias("total"))
+    return TX.read_id_lists(spark, path).select("qid", F.explode_outer(F.col("ids").cast("array<bigint>")).alias("vec_id"))
 
 
-@query("range_export", with_(B) + "SELECT vec_id, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 4) AS total FROM b GROUP BY vec_id")
+@query("scan_plain_idlist", with_(B, Q, HITS, "o AS (SELECT qid, CAST(row_number() OVER (ORDER BY qid) - 1 AS BIGINT) AS line FROM (SELECT DISTINCT qid FROM q))") + "SELECT line, vec_id FROM o LEFT JOIN hits USING (qid)")
+def scan_plain_idlist(spark, sf):
+    """Lines without keys, in the order of the queries."""
+    q, path = queries(spark, sf), shared_path(spark, "idlist")
+    TX.write_plain_id_lists(TX.ragged(q, J.interval_search(base(spark, sf), q, D)), path)
+    return TX.read_plain_id_lists(spark, path).select(F.col("qid").alias("line"), F.explode_outer(F.col("ids").cast("array<bigint>")).alias("vec_id"))
+
+
+@query("truth_load", with_(B, Q, HITS) + "SELECT * FROM hits")
+def truth_load(spark, sf):
+    """Stored truth: computed by the first call, read by the second, which must not compute."""
+    q, path = queries(spark, sf), shared_path(spark, "truth")
+    MO.truth(spark, path, lambda: TX.ragged(q, J.interval_search(base(spark, sf), q, D)))
+
+    def never():
+        raise AssertionError("the truth is there")
+
+    return MO.truth(spark, path, never).select("qid", F.explode(F.col("ids").cast("array<bigint>")).alias("vec_id"))
+
+
+@query("range_export", with_(B) + "SELECT vec_id, i, round(CAST(x AS DOUBLE), 6) AS v FROM b")
 def range_export(spark, sf):
     path = shared_path(spark, "rcd")
     TX.write_range_export(base(spark, sf), path)
     at = F.split(F.regexp_extract("value", r"^(.*):\(\d+\)$", 1), ":")
     rows = spark.read.text(path).select(F.regexp_extract("value", r"\((\d+)\)$", 1).cast("long").alias("vec_id"), F.transform(at, lambda v: v.cast("double")).alias("x"))
-    return rows.select("vec_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+    return long(rows).withColumn("v", F.round("v", 6))
 
 
 @query(
@@ -89,10 +109,10 @@ def new_rows(rows):
     return rows.where(F.col("vec_id") % 7 == 3).withColumn("vec_id", F.col("vec_id") + 1_000_000)
 
 
-@query("kd_insert", with_(B) + "SELECT vec_id, count(*) AS n FROM (SELECT vec_id FROM embeddings UNION ALL SELECT vec_id + 1000000 FROM embeddings WHERE vec_id % 7 = 3) GROUP BY vec_id")
+@query("kd_insert", with_(B) + "SELECT vec_id, i, round(CAST(x AS DOUBLE), 6) AS v FROM (SELECT * FROM b UNION ALL SELECT vec_id + 1000000, i, x FROM b WHERE vec_id % 7 = 3)")
 def kd_insert(spark, sf):
     b = base(spark, sf)
-    return MT.insert(b, new_rows(b)).groupBy("vec_id").agg(F.count("*").alias("n"))
+    return long(MT.insert(b, new_rows(b))).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 @query("kd_delete", "SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 3")

@@ -11,13 +11,14 @@ from ..functions.hashing import E2Lsh, SignHash
 from ..functions.predicates import in_box
 from ..operators import joins as J
 from ..operators import lsh as L
+from ..operators import metrics as M
 from ..operators import stats as ST
 from .fixtures import B, HITS, Q, Q_HALF, D, base, queries, query, with_
 from .search import PREFIX
 
 LSH = E2Lsh(D, functions=2, r=0.75, tables=3)
 SIGNS = SignHash(D, bits=8, tables=2)
-LONG_SIGNS = SignHash(D, bits=64)
+LONG_SIGNS = SignHash(D, bits=256)
 TRIG_SIGNS = SignHash(2 * D, bits=6)
 
 
@@ -191,3 +192,27 @@ def wsrp_lookup(spark, sf):
     found = L.lookup(index, keys)
     rows = found.join(b, "vec_id").join(q, "qid")
     return rows.select("qid", "vec_id", in_box(F.col("x"), F.col("q"), F.col("rg"), D).alias("hit"))
+
+
+RECALL = """SELECT round(avg(h / n), 9) AS recall, round(avg(CASE WHEN p > 0 THEN h / p END), 9) AS precision, round(sum(h) / sum(n), 9) AS overall_recall, round(avg(p), 9) AS mean_probed FROM (
+  SELECT t.qid, CAST(count(*) AS DOUBLE) AS n, CAST(count(f.vec_id) AS DOUBLE) AS h, any_value(coalesce(pr.p, 0)) AS p
+  FROM hits t LEFT JOIN found f ON f.qid = t.qid AND f.vec_id = t.vec_id LEFT JOIN (SELECT qid, CAST(count(*) AS DOUBLE) AS p FROM found GROUP BY qid) pr ON pr.qid = t.qid GROUP BY t.qid)"""
+
+
+def measured(spark, sf, found):
+    """Recall and precision of candidates (qid, vec_id) against the exact box search."""
+    q = queries(spark, sf)
+    truth = J.interval_search(base(spark, sf), q, D)
+    probed = found.groupBy("qid").agg(F.count("*").alias("probed"))
+    out = M.recall_precision(q, truth, found.join(truth, ["qid", "vec_id"]), probed)
+    return out.select(*[F.round(c, 9).alias(c) for c in ("recall", "precision", "overall_recall", "mean_probed")])
+
+
+@query("e2lsh_recall", with_(*HASHED, FOUND, HITS) + RECALL)
+def e2lsh_recall(spark, sf):
+    return measured(spark, sf, e2lsh_lookup(spark, sf).distinct())
+
+
+@query("srp_recall", with_(B, Q, SPROJ, XS, QS, FOUND, HITS) + RECALL)
+def srp_recall(spark, sf):
+    return measured(spark, sf, srp_lookup(spark, sf).distinct())

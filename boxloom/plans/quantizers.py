@@ -11,8 +11,12 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import multiindex as I
 from ..operators import quantize as Z
-from ..sources.shared import stored
+from ..operators import stats as ST
+from ..sources import models as MO
+from ..sources import vecs as VS
+from ..sources.shared import shared_path, stored
 from . import fixtures as X
+from .hashing import RECALL, measured
 from .fixtures import ACTIVE_SQL, ADC, BOUNDS, CB, CELL_CB, CELL_CODES, CELLS, CODES, DECODED, HITS, PQ_PASS, RANKED, REACH, B, D, Q, base, book, cell_book, queries, query, with_
 
 PQ = (B, Q, CB, CODES)
@@ -304,6 +308,37 @@ def rq_encode(spark, sf):
     return longs(rows.select("vec_id", "layer", F.posexplode("code").alias("m", "k")), "layer", "m", "k")
 
 
+@query(
+    "model_files",
+    with_(B, CB, CODES, "sc AS (SELECT i, quantile_cont(abs(CAST(x AS DOUBLE)), 0.75) AS s FROM b GROUP BY i)")
+    + """SELECT 'centroid' AS kind, m * 16 + k AS id, i - 16 * m AS i, round(c, 6) AS v FROM cb UNION ALL SELECT 'code', vec_id, m, k FROM codes UNION ALL SELECT 'scale', 0, i, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 6) FROM sc
+UNION ALL SELECT 'scaled', m * 16 + k, i - 16 * m, round(c * CAST(s AS FLOAT), 5) FROM cb JOIN sc USING (i)""",
+)
+def model_files(spark, sf):
+    """Codebook, codes and scale written and read back, and the centroids in the data's own units."""
+    b, rows, paths = book(spark, sf), base(spark, sf), {k: shared_path(spark, k) for k in ("centroids", "codes", "scale")}
+    scale = np.array([r["value"] for r in ST.percentiles(rows, 0.75, absolute=True).orderBy("i").collect()])  # a row per dimension
+    MO.write_centroids(spark, b.centroids, paths["centroids"])
+    MO.write_codes(codes(spark, sf), paths["codes"])
+    MO.write_scale(spark, scale, paths["scale"])
+    centroids = VS.read_centroids(spark, paths["centroids"], X.PARTS, X.KS, D)
+    known = MO.read_codes(spark, paths["codes"], rows.count(), X.PARTS)
+    scale = MO.read_scale(spark, paths["scale"], D)
+
+    def long(kind, key, column, digits=6):
+        return lambda df: df.select(F.lit(kind).alias("kind"), key.cast("long").alias("id"), F.posexplode(column).alias("i", "v")).select("kind", "id", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double"), digits).alias("v"))
+
+    number = F.col("m") * X.KS + F.col("k")
+    out = long("centroid", number, "centroid")(centroids).unionByName(long("code", F.col("vec_id"), "code")(known))
+    out = out.unionByName(long("scale", F.lit(0), "x")(spark.createDataFrame([([float(v) for v in scale],)], "x array<float>")))
+    return out.unionByName(long("scaled", number, "centroid", 5)(MO.scaled_centroids(centroids, scale, b.parts)))
+
+
+@query("imi_recall", with_(*IMI, RANKED, HITS, BEFORE, TOP, "found AS (SELECT t.qid, c.vec_id FROM taken t JOIN ccodes c USING (k0, k1))") + RECALL)
+def imi_recall(spark, sf):
+    return measured(spark, sf, imi_probe_topk(spark, sf).select("qid", "vec_id"))
+
+
 @query("opq_rotate", with_(B, "s AS (SELECT vec_id, sum(CAST(x AS DOUBLE)) / 32 AS s FROM b GROUP BY vec_id)") + "SELECT vec_id, i, round(x - s, 6) AS v FROM b JOIN s USING (vec_id)")
 def opq_rotate(spark, sf):
     mirror = np.eye(D) - 2 * np.full((D, D), 1 / D)  # a fixed orthogonal matrix

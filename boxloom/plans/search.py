@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as DI
 from ..functions import predicates as P
 from ..functions.vectors import dims
+from ..operators import blocks as BL
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import ranking as R
@@ -123,6 +124,66 @@ def prefix_filter_refine(spark, sf):
     return J.prefix_filter_refine(base(spark, sf), queries(spark, sf), 8, D)
 
 
+KD_LEVELS, KD_AXES = 4, 3
+
+
+def kd_sql():
+    """Rows with the node of each level; the cut is the lower median along the level's axis."""
+    parts = ["n0 AS (SELECT DISTINCT vec_id, 1 AS node FROM b)"]
+    for level in range(KD_LEVELS):
+        parts.append(f"v{level} AS (SELECT n{level}.vec_id, node, CAST(x AS DOUBLE) AS x FROM n{level} JOIN b ON b.vec_id = n{level}.vec_id AND b.i = {level % KD_AXES})")
+        parts.append(f"n{level + 1} AS (SELECT vec_id, 2 * node + CASE WHEN x >= cut THEN 1 ELSE 0 END AS node FROM v{level} JOIN (SELECT node, quantile_disc(x, 0.5) AS cut FROM v{level} GROUP BY node) USING (node))")
+    return [*parts, f"leaf AS (SELECT vec_id, node - {2**KD_LEVELS} AS block FROM n{KD_LEVELS})"]
+
+
+BOUNDS = "SELECT block, count(DISTINCT vec_id) AS n, i, round(CAST(min(x) AS DOUBLE), 6) AS lo, round(CAST(max(x) AS DOUBLE), 6) AS hi FROM {rows} GROUP BY block, i"
+
+
+def layout(spark, sf):
+    b = base(spark, sf)
+    return BL.laid_out(b, BL.kd_tree(b, KD_LEVELS, KD_AXES))
+
+
+def long_bounds(boxes):
+    rows = boxes.select("block", "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "s"))
+    return rows.select(F.col("block").cast("long").alias("block"), "n", F.col("i").cast("long").alias("i"), *[F.round(F.col(f"s.{c}").cast("double"), 6).alias(c) for c in ("lo", "hi")])
+
+
+@query("kd_build", with_(B, *kd_sql()) + "SELECT vec_id, CAST(block AS BIGINT) AS block FROM leaf")
+def kd_build(spark, sf):
+    return layout(spark, sf).select("vec_id", F.col("block").cast("long").alias("block"))
+
+
+@query("kd_traverse", with_(B, *kd_sql()) + BOUNDS.format(rows="leaf JOIN b USING (vec_id)"))
+def kd_traverse(spark, sf):
+    """The leaves of the tree with their boxes."""
+    return long_bounds(BL.bounds(layout(spark, sf), D))
+
+
+@query("kd_range_search", with_(B, Q_HALF, "hits AS (SELECT qid, vec_id FROM b JOIN q USING (i) GROUP BY qid, vec_id HAVING bool_and(abs(x - q) <= rg))") + "SELECT * FROM hits")
+def kd_range_search(spark, sf):
+    rows = layout(spark, sf)
+    return BL.block_search(rows, BL.bounds(rows, D), queries(spark, sf, 0.5), D)
+
+
+@query("rtree_filter_refine", with_(B, Q, HITS) + "SELECT * FROM hits")
+def rtree_filter_refine(spark, sf):
+    """Blocks by the first eight dimensions, rows by all."""
+    rows = layout(spark, sf)
+    return BL.block_search(rows, BL.bounds(rows, D), queries(spark, sf), D, 8)
+
+
+@query(
+    "rtree_insert",
+    with_(B, *kd_sql(), "more AS (SELECT block, vec_id, i, x FROM leaf JOIN b USING (vec_id) UNION ALL SELECT block, vec_id + 1000000, i, CAST(x * CAST(1.5 AS FLOAT) AS FLOAT) FROM leaf JOIN b USING (vec_id) WHERE vec_id % 7 = 3)") + BOUNDS.format(rows="more"),
+)
+def rtree_insert(spark, sf):
+    """Boxes after an insertion: each new row goes to the block of the row that it is made from, whose box grows."""
+    rows = layout(spark, sf)
+    new = rows.where("vec_id % 7 = 3").withColumns({"vec_id": F.col("vec_id") + 1_000_000, "x": F.transform("x", lambda v: (v * F.lit(1.5).cast("float")).cast("float"))})
+    return long_bounds(BL.extended(BL.bounds(rows, D), new, D))
+
+
 @query("weighted_dist", with_(B, Q, DIST) + "SELECT qid, vec_id, round(dist, 6) AS dist FROM dist")
 def weighted_dist(spark, sf):
     return weighted(spark, sf).withColumn("dist", F.round("dist", 6))

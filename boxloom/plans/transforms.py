@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -12,7 +15,9 @@ from ..operators import lsh as L
 from ..operators import ranking as R
 from ..operators import stats as ST
 from ..operators import workload as W
-from .fixtures import ACTIVE_SQL, B, D, Q, base, queries, query, with_, with_dims
+from ..sources import models as MO
+from ..sources.shared import shared_path
+from .fixtures import ACTIVE_SQL, B, D, Q, base, boxes, queries, query, with_, with_dims
 
 STATS = "st AS (SELECT i, avg(CAST(x AS DOUBLE)) AS mean, min(CAST(x AS DOUBLE)) AS lo, max(CAST(x AS DOUBLE)) AS hi, max(abs(CAST(x AS DOUBLE))) AS top FROM b GROUP BY i)"
 MAX_ABS = "(SELECT max(abs(x - mean)) FROM b JOIN st USING (i))"
@@ -54,8 +59,8 @@ def ip_rank(spark, sf):
     return R.top_k(scored, "dist", 20).select("qid", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-#: Projection to 8 dimensions of the transformed vectors, seeded.
-RANDOM = np.round(np.random.default_rng(808).normal(size=(8, 3 * D)) / np.sqrt(8), 4)
+#: Projection to 32 dimensions of the transformed vectors, seeded.
+RANDOM = np.round(np.random.default_rng(808).normal(size=(32, 3 * D)) / np.sqrt(32), 4)
 RANDOM_SQL = "rp(j, n, a) AS (VALUES " + ", ".join(f"({j}, {n}, {a})" for j, row in enumerate(RANDOM) for n, a in enumerate(row)) + ")"
 
 
@@ -253,15 +258,49 @@ def range_by_percent(spark, sf):
 
 @query("find_percent")
 def find_percent(spark, sf):
-    b, q = base(spark, sf).cache(), queries(spark, sf)
+    b, q = base(spark, sf), queries(spark, sf)
     n = q.count()
 
     def mean_size(percent):
         return J.interval_search(b, W.with_widths(q, b, percent, "uniform", D), D).count() / n
 
-    percent, size = W.find_percent(mean_size, 20.0)
-    b.unpersist()
-    return spark.createDataFrame([("uniform", 20, size, percent)], "kind string, target int, size double, percent double")
+    percent, size, reached = W.find_percent(mean_size, 20.0)
+    return spark.createDataFrame([("uniform", 20, size, percent, reached)], "kind string, target int, size double, percent double, reached boolean")
+
+
+def sweep_sql(kind, percent):
+    """Mean result size of a workload, of widths noise times spread."""
+    spread = spread_sql(percent).replace("sp AS", f"sp{percent} AS")
+    return spread, f"SELECT 'embeddings' AS dataset, '{kind}' AS kind, 0 AS target, round(count(hit) / count(DISTINCT qid)::DOUBLE, 6) AS size, {percent}.0::DOUBLE AS percent FROM (SELECT qid, NULL AS hit FROM q WHERE i = 0 UNION ALL SELECT qid, vec_id FROM b JOIN (SELECT qid, i, q, CAST(({NOISES[kind]}) * s AS FLOAT) AS w FROM q JOIN sp{percent} USING (i)) USING (i) GROUP BY qid, vec_id HAVING bool_and(abs(x - q) <= w))"
+
+
+SWEEP = [(kind, percent) for percent in (40, 70) for kind in NOISES]
+
+
+@query("workload_sweep", with_(B, Q, *dict.fromkeys(sweep_sql(k, p)[0] for k, p in SWEEP)) + "\nUNION ALL ".join(sweep_sql(k, p)[1] for k, p in SWEEP))
+def workload_sweep(spark, sf):
+    """Mean result sizes over kinds and selectivities of ranges, written as workload records and read back."""
+    b, q, path = base(spark, sf), queries(spark, sf), shared_path(spark, "records")
+    n, rows = q.count(), []
+    for kind, percent in SWEEP:
+        found = J.interval_search(b, W.with_widths(q, b, percent, kind, D), D).agg(F.round(F.count("*") / n, 6).alias("size"))
+        rows.append(found.select(F.lit("embeddings").alias("dataset"), F.lit(kind).alias("kind"), F.lit(0).alias("target"), "size", F.lit(float(percent)).alias("percent")))
+    MO.write_records(reduce(DataFrame.unionByName, rows), path)
+    return MO.read_records(spark, path)
+
+
+@query(
+    "ip_transform_stored",
+    with_(B, Q, "bw AS (SELECT vec_id, i, x, CAST((30 + (vec_id * 5 + i) % 13) / 100.0 AS FLOAT) AS w FROM b)")
+    + """SELECT 'x' AS side, vec_id AS id, k * 64 + i AS i, round(c * pow(CAST(x AS DOUBLE), 2 - k) / pow(CAST(w AS DOUBLE), 2), 5) + 0.0::DOUBLE AS v FROM bw, (VALUES (0, -1.0), (1, 2.0), (2, -1.0)) AS t(k, c)
+UNION ALL SELECT 'q', qid, k * 64 + i, round(pow(CAST(q AS DOUBLE), k), 5) + 0.0::DOUBLE FROM q, (VALUES (0), (1), (2)) AS t(k)""",
+)
+def ip_transform_stored(spark, sf):
+    """The inner-product form where stored vectors bring the widths."""
+    x, _ = V.inner_product_sides(F.col("x"), F.col("x"), F.col("rg"), 2, stored_widths=True)
+    _, q = V.inner_product_sides(F.col("q"), F.col("q"), F.col("rg"), 2, stored_widths=True)
+    left = long(boxes(spark, sf), x, digits=5).select(F.lit("x").alias("side"), F.col("vec_id").alias("id"), "i", "v")
+    return left.unionByName(long(queries(spark, sf), q, "qid", 5).select(F.lit("q").alias("side"), F.col("qid").alias("id"), "i", "v"))
 
 
 @query("hold_out", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings) SELECT vec_id, CASE WHEN r <= 50 THEN 'query' ELSE 'base' END AS part FROM r")

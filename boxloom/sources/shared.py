@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; only where a session has none is a temporary folder set."""
+    """A new path in ``spark.checkpoint.dir``; only where a session on a single machine has none is a temporary folder
+    set.  On a cluster a missing one is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="boxloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -1,4 +1,4 @@
-"""Text formats: id lists, numeric tables, range-search exports and metric rows."""
+"""Text formats: id lists, numeric tables, vector lines and metric rows."""
 
 from __future__ import annotations
 
@@ -18,6 +18,13 @@ def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(at[0].cast("long").alias("qid"), ids_of(at[1]).alias("ids"))
 
 
+def write_plain_id_lists(rows: DataFrame, path: str) -> None:
+    """(qid, ids) as lines of ids in ascending order of qid, in one file, as the line number is the query: for query sets
+    of a size for one task.  Larger ones are written with keys."""
+    lines = rows.select("qid", F.array_join(F.transform("ids", lambda v: v.cast("string")), " ").alias("value"))
+    lines.repartition(1).sortWithinPartitions("qid").select("value").write.mode("overwrite").text(path)
+
+
 def read_plain_id_lists(spark: SparkSession, path: str) -> DataFrame:
     """(qid, ids) of a single file without keys, whose line number from 0 is the query."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("qid", "line"))

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import in_box
-from ..operators.joins import BROADCAST_QUERIES
+from ..operators.joins import theta_join
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def stream_interval_search(stream: DataFrame, queries: DataFrame, d: int) -> DataFrame:
-    """(qid, vec_id) of arriving vectors (vec_id, x) in the boxes of a query set of checked size."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError("a stream is searched by at most BROADCAST_QUERIES queries; split them over several streams")
-    return stream.join(F.broadcast(queries), in_box(F.col("x"), F.col("q"), F.col("rg"), d)).select("qid", "vec_id")
+    """(qid, vec_id) of arriving vectors (vec_id, x) in the boxes of the queries, which are sent in blocks of at most
+    ``BROADCAST_QUERIES`` however many there are; the stream is filtered by each."""
+    return theta_join(stream, queries, lambda: in_box(F.col("x"), F.col("q"), F.col("rg"), d)).select("qid", "vec_id")
 
 
 def run_to_end(found: DataFrame, path: str) -> DataFrame:
