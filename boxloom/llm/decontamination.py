@@ -37,13 +37,16 @@ CLASSES = [[k for k in range(SPAN) if k % 4 == c] for c in range(4)]
 MASKS = list(combinations(range(4), 2))
 #: Scripts written without spaces between words (fixed list).
 UNSPACED = "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split()
+#: Ranges of code points that hold all characters of these scripts; only texts with one of them are split by script.
+RANGES = r"[\x{0E00}-\x{109F}\x{1780}-\x{17FF}\x{19E0}-\x{19FF}\x{2E80}-\x{9FFF}\x{A9E0}-\x{AA7F}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}\x{116D0}-\x{116FF}\x{16FE0}-\x{16FFF}\x{1AFF0}-\x{3FFFF}]"
 #: Windows of the benchmark that are broadcast, and hashes in a block of a larger one.
 BROADCAST_SEEDS, BLOCK_SEEDS = 300_000, 2_000_000
 
 
 def token_hashes(text: str) -> Column:
-    alone = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), f"([{''.join(rf'\p{{Is{x}}}' for x in UNSPACED)}])", " $1 ")
-    tokens = F.array_remove(F.split(alone, r"[^\p{L}\p{M}\p{N}]+"), "")
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    alone = F.regexp_replace(lower, f"([{''.join(rf'\p{{Is{x}}}' for x in UNSPACED)}])", " $1 ")
+    tokens = F.array_remove(F.split(F.when(lower.rlike(RANGES), alone).otherwise(lower), r"[^\p{L}\p{M}\p{N}]+"), "")
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 

@@ -153,6 +153,16 @@ def test_masks_miss_nothing():
         assert all(any(i not in classes[c] for (c,) in masks) for i in range(n))
 
 
+def test_ranges_hold_all_characters_of_unspaced_scripts():
+    import regex
+
+    scripts = regex.compile("[" + "".join(rf"\p{{Script={x}}}" for x in DC.UNSPACED) + "]")
+    ranges = regex.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", DC.RANGES))
+    for c in range(0x110000):
+        if scripts.match(chr(c)) and regex.match(r"[\p{L}\p{M}\p{N}]", chr(c)):
+            assert ranges.match(chr(c)), hex(c)
+
+
 @pytest.mark.parametrize("seeds", [300_000, 10])
 def test_decontamination_equals_brute_force(spark, monkeypatch, seeds):
     monkeypatch.setattr(DC, "BROADCAST_SEEDS", seeds)  # 10: blocks of hashes, then a join of the hits
