@@ -1 +1 @@
-"""Interval similarity search on Spark: box joins, ranking, quantizers and hashing over vector tables."""
+"""Box joins over vector tables in Spark, with ranking, quantizers and hashing."""
