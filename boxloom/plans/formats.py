@@ -74,8 +74,8 @@ def range_export(spark, sf):
     path = shared_path(spark, "rcd")
     TX.write_range_export(base(spark, sf), path)
     at = F.split(F.regexp_extract("value", r"^(.*):\(\d+\)$", 1), ":")
-    rows = spark.read.text(path).select(F.regexp_extract("value", r"\((\d+)\)$", 1).cast("long").alias("vec_id"), F.transform(at, lambda v: v.cast("double")).alias("x"))
-    return long(rows).withColumn("v", F.round("v", 6))
+    rows = spark.read.text(path).select(F.regexp_extract("value", r"\((\d+)\)$", 1).cast("long").alias("vec_id"), F.transform(at, lambda v: v.cast("float")).alias("x"))
+    return long(rows).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 @query(
