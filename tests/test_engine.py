@@ -206,7 +206,8 @@ def test_find_scale_counts(sample):
 
 
 def test_find_percent():
-    percent, size = W.find_percent(lambda p: p * p / 10, 40.0)
+    percent, size, reached = W.find_percent(lambda p: p * p / 10, 40.0)
+    assert reached
     assert abs(size - 40) <= 2 and abs(percent - 20) < 1
 
 
@@ -251,3 +252,67 @@ def test_id_lists_and_logs(spark, tmp_path):
     one = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, time double")
     other = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "k string, time double")
     assert [r["k"] for r in TX.faster_than(one, other, ["k"]).collect()] == ["a"]
+
+
+def test_queries_beyond_a_broadcast(spark, sf_dir, monkeypatch, tmp_path):
+    """Blocks of queries give what one broadcast gives, in a batch and over a stream."""
+    from boxloom.operators import joins as J
+    from boxloom.plans.fixtures import D, base, queries
+    from boxloom.streaming import search as S
+
+    b, q = base(spark, sf_dir), base(spark, sf_dir).where("vec_id % 7 = 0").selectExpr("vec_id AS qid", "x AS q", "transform(x, v -> 0.36F) AS rg")
+    want = sorted(map(tuple, J.interval_search(b, q, D).collect()))
+    cut = J.theta_join(b, q, lambda: J.P.in_box(J.F.col("x"), J.F.col("q"), J.F.col("rg"), D), limit=20).select("qid", "vec_id")
+    assert sorted(map(tuple, cut.collect())) == want and len(want) > 100
+    q = queries(spark, sf_dir)
+    whole = J.theta_join
+    monkeypatch.setattr(S, "theta_join", lambda stream, rows, condition: whole(stream, rows, condition, limit=2))
+    found = S.run_to_end(S.stream_interval_search(S.vectors(spark, sf_dir), q, D), f"file://{tmp_path}/found")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, J.interval_search(b, q, D).collect()))
+
+
+def test_shapes_are_checked(spark, sf_dir):
+    from boxloom.functions.vectors import checked
+    from boxloom.plans.fixtures import D, base
+
+    good = base(spark, sf_dir)
+    assert checked(good, D).count() == good.count()
+    bad = good.limit(3).unionByName(spark.createDataFrame([(1, [1.0]), (2, None), (3, [float("nan")] * D)], good.schema))
+    with pytest.raises(ValueError, match="3 vectors"):
+        checked(bad, D)
+
+
+def test_bisection_says_whether_it_reached_its_target():
+    from boxloom.operators import workload as W
+
+    percent, size, reached = W.find_percent(lambda p: p * 2, 50.0)
+    assert reached and abs(size - 50) <= 2.5 and size == 2 * percent
+    assert W.find_percent(lambda p: 0.0 if p < 30 else 100.0, 50.0)[2] is False
+
+
+def test_blocks_are_pruned(spark):
+    """Clustered rows: a small box reaches one block of many."""
+    from boxloom.operators import blocks as BL
+
+    rows = spark.createDataFrame([(i, [float(i % 16), float(i // 16)]) for i in range(256)], "vec_id long, x array<float>")
+    placed = BL.laid_out(rows, BL.kd_tree(rows, 4, 2))
+    boxes = BL.bounds(placed, 2)
+    assert boxes.count() == 16 and sum(r["n"] for r in boxes.collect()) == 256
+    q = spark.createDataFrame([(7, [1.0, 1.0], [1.0, 1.0]), (8, [99.0, 0.0], [1.0, 1.0])], "qid long, q array<float>, rg array<float>")
+    assert BL.reached(boxes, q, 2).count() == 1
+    assert sorted(r["vec_id"] for r in BL.block_search(placed, boxes, q, 2).collect()) == [0, 1, 2, 16, 17, 18, 32, 33, 34]
+
+
+def test_model_files_are_checked(spark, tmp_path):
+    import numpy as np
+
+    from boxloom.sources import models as MO
+
+    MO.write_scale(spark, np.arange(1, 5), f"file://{tmp_path}/scale")
+    assert MO.read_scale(spark, f"file://{tmp_path}/scale", 4).tolist() == [1, 2, 3, 4]
+    for wrong in (lambda: MO.read_scale(spark, f"file://{tmp_path}/scale", 5), lambda: MO.read_codes(spark, f"file://{tmp_path}/scale", 2, 4)):
+        with pytest.raises(Exception):
+            wrong()
+    centroids = spark.createDataFrame([(0, 0, [1.0, 2.0]), (1, 0, [3.0, 0.0])], "m int, k int, centroid array<float>")
+    out = MO.scaled_centroids(centroids, np.array([2.0, 3.0, 4.0]), [(0, 2), (2, 1)])
+    assert sorted(map(tuple, out.collect())) == [(0, 0, [2.0, 6.0]), (1, 0, [12.0, 0.0])]
