@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 
 BROADCAST_QUERIES = 20_000
+#: Grid cells that a query is copied to at most.
+MOST_CELLS = 4_096
 
 
 def renewed(rows: DataFrame) -> DataFrame:
@@ -75,18 +77,26 @@ def prefix_filter_refine(base: DataFrame, queries: DataFrame, prefix: int, d: in
     return theta_join(base, queries, both).select("qid", "vec_id")
 
 
-def grid_search(base: DataFrame, queries: DataFrame, axes: list[int], cell: float, d: int) -> DataFrame:
+def grid_search(base: DataFrame, queries: DataFrame, axes: list[int], cell: float, d: int, most_cells: int = MOST_CELLS) -> DataFrame:
     """The box join by grid cells along ``axes``: base rows fall into one cell, queries are copied to the cells that
-    their box meets, the cell is an equi-join key, and the box is checked on all dimensions."""
+    their box meets, the cell is an equi-join key, and the box is checked on all dimensions.  Queries whose box meets
+    more than ``most_cells`` cells, which such a grid cannot serve, take :func:`interval_search`."""
     at = lambda v: F.floor(v / F.lit(cell)).cast("long")
-    left, right = base, queries
+    left, right, cells = base, queries, F.lit(1.0)
     for n, axis in enumerate(axes):
         left = left.withColumn(f"__c{n}", at(F.col("x")[axis].cast("double")))
         q, w = F.col("q")[axis].cast("double"), F.col("rg")[axis].cast("double")
+        right = right.where(w >= 0)
         # one cell to spare on each side, for the rounding of the difference form
-        right = right.where(w >= 0).withColumn(f"__c{n}", F.explode(F.sequence(at(q - w) - 1, at(q + w) + 1)))
+        right = right.withColumns({f"__a{n}": at(q - w) - 1, f"__b{n}": at(q + w) + 1})
+        cells = cells * (2 * w / cell + 4)
+    wide = right.where(~(cells <= most_cells)).select(*queries.columns)
+    right = right.where(cells <= most_cells)
+    for n in range(len(axes)):
+        right = right.withColumn(f"__c{n}", F.explode(F.sequence(f"__a{n}", f"__b{n}")))
     keys = [f"__c{n}" for n in range(len(axes))]
-    return left.join(right, keys).where(P.in_box(F.col("x"), F.col("q"), F.col("rg"), d)).select("qid", "vec_id")
+    found = left.join(right, keys).where(P.in_box(F.col("x"), F.col("q"), F.col("rg"), d)).select("qid", "vec_id")
+    return found if wide.isEmpty() else found.unionByName(interval_search(base, wide, d))
 
 
 def refine(candidates: DataFrame, base: DataFrame, queries: DataFrame, d: int) -> DataFrame:

@@ -256,7 +256,31 @@ def range_by_percent(spark, sf):
     return W.range_by_percent(values, q).select("qid", F.round("width", 6).alias("width"))
 
 
-@query("find_percent")
+#: Value at a share of ordered values, between neighbours by straight line.
+PLACE = "(v[CAST(floor(({at}) * n) AS INTEGER) + 1] + (v[CAST(ceil(({at}) * n) AS INTEGER) + 1] - v[CAST(floor(({at}) * n) AS INTEGER) + 1]) * (({at}) * n - floor(({at}) * n)))"
+#: Bisection by recursion: a row per step with the interval after it; percentiles are read from ordered values.
+BISECTION = f"""ordered AS (SELECT i, list_sort(list(CAST(x AS DOUBLE))) AS v, count(*) - 1 AS n FROM b GROUP BY i),
+noise AS (SELECT qid, i, q, {NOISES['uniform']} AS u FROM q),
+step AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS low, 100.0::DOUBLE AS high, 0.0::DOUBLE AS percent, 0.0::DOUBLE AS size, false AS reached, 100.0::DOUBLE AS was
+  UNION ALL
+  SELECT k + 1, CASE WHEN size < 20 THEN mid ELSE low END, CASE WHEN size < 20 THEN high ELSE mid END, mid, size, abs(size - 20) <= 1, high - low
+  FROM (
+    SELECT k, low, high, mid, sum(hit) / (SELECT count(DISTINCT qid) FROM q)::DOUBLE AS size
+    FROM (
+      SELECT k, low, high, mid, qid, vec_id, CASE WHEN bool_and(abs(x - q) <= CAST(u * s AS FLOAT)) THEN 1 ELSE 0 END AS hit
+      FROM (
+        SELECT k, low, high, mid, i, {PLACE.format(at='0.5 + mid / 200')} - {PLACE.format(at='0.5 - mid / 200')} AS s
+        FROM (SELECT *, (low + high) / 2 AS mid FROM step WHERE NOT reached AND was >= 1e-4 AND k < 64), ordered) AS spread
+      JOIN noise USING (i) JOIN b USING (i)
+      GROUP BY k, low, high, mid, qid, vec_id) AS pairs
+    GROUP BY k, low, high, mid) AS sized)"""
+
+
+@query(
+    "find_percent",
+    with_(B, Q, BISECTION).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT 'uniform' AS kind, 20::INTEGER AS target, size, percent, reached FROM step WHERE k = (SELECT max(k) FROM step)",
+)
 def find_percent(spark, sf):
     b, q = base(spark, sf), queries(spark, sf)
     n = q.count()

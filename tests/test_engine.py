@@ -57,6 +57,9 @@ def test_access_paths_agree(sample):
     for axes, cell in (([0], 0.5), ([1, 4], 2.0), ([0, 1, 2], 0.3)):
         found = J.grid_search(base, queries, axes, cell, DIM)
         assert pairs(found) == truth and found.count() == len(truth)
+    for most in (1, 7, 40):
+        found = J.grid_search(base, queries, [0, 1], 0.3, DIM, most)
+        assert pairs(found) == truth and found.count() == len(truth)
     assert pairs(J.prefix_filter_refine(base, queries, 2, DIM)) == truth
     assert pairs(J.prefix_search(base, queries, 2)) >= truth
     dims = queries.withColumn("dims", V.dims(DIM))
