@@ -207,6 +207,17 @@ def cross_moments(rows: DataFrame, a: str, b: str, d: int) -> np.ndarray:
     return out.reshape(d, d)
 
 
+#: Weight of the rotation before, against the largest singular value of the moments.
+KEEP = 1e-6
+
+
+def procrustes(moments: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The orthogonal matrix that fits the moments best.  Directions that the codebook does not span, in which every
+    matrix fits alike, turn as little as they can from ``before``, so that rounding does not choose among them."""
+    u, _, v = np.linalg.svd(moments + KEEP * np.linalg.norm(moments, 2) * before)
+    return u @ v
+
+
 @dataclass
 class OPQ:
     """Product (or residual) quantizer after a rotation that is fitted by alternating with a Procrustes step, p = 2."""
@@ -224,8 +235,7 @@ class OPQ:
             last = k == rotations - 1
             self.rq = RQ([PQ(self.parts, self.ks) for _ in range(self.layers)]).fit(turned.select("vec_id", F.col("y").alias("x")), d, steps if last else 1)
             if not last:
-                u, _, v = np.linalg.svd(cross_moments(turned.withColumn("z", self.rq.compress(F.col("y"))), "x", "z", d))
-                self.rotation = u @ v
+                self.rotation = procrustes(cross_moments(turned.withColumn("z", self.rq.compress(F.col("y"))), "x", "z", d), self.rotation)
         return self
 
     def rotate(self, x: Column) -> Column:

@@ -201,6 +201,46 @@ def test_lsh_multiprobe_is_between(sample):
     assert refined <= pairs(J.interval_search(base, queries, DIM))
 
 
+def test_trained_rotation_equals_numpy(spark, sf_dir):
+    """The query opq_fit by its definition: k-means steps, Procrustes rotation, k-means steps."""
+    from boxloom.plans import fixtures as X
+    from boxloom.plans.registry import QUERIES
+
+    table = sorted(X.base(spark, sf_dir).collect())
+    x = np.array([r["x"] for r in table], float)
+    parts = V.split_dims(X.D, X.PARTS)
+
+    def codes(y, books):
+        far = [np.round(((y[:, None, f : f + n] - b) ** 2).sum(2), Z.DIGITS) for (f, n), b in zip(parts, books, strict=True)]
+        return np.stack([d.argmin(1) for d in far], 1)
+
+    def decoded(code, books):
+        return np.hstack([b[code[:, m]] for m, b in enumerate(books)])
+
+    def trained(y, steps):
+        books = [y[: X.KS, f : f + n].copy() for f, n in parts]
+        for _ in range(steps):
+            code = codes(y, books)
+            for m, (f, n) in enumerate(parts):
+                for k in set(code[:, m]):
+                    books[m][k] = y[code[:, m] == k, f : f + n].mean(0)
+        return books
+
+    books = trained(x, 1)
+    moments = x.T @ decoded(codes(x, books), books)
+    turn = Z.procrustes(moments, np.eye(X.D))
+    fit = (turn * moments).sum()
+    assert np.allclose(turn @ turn.T, np.eye(X.D)) and np.isclose(fit, np.linalg.svd(moments)[1].sum(), atol=1e-3)
+    noise = np.random.default_rng(1).normal(size=moments.shape) * 1e-15
+    assert np.allclose(Z.procrustes(moments + noise, np.eye(X.D)), turn, atol=1e-6)
+    books = trained(x @ turn, 2)
+    code = codes(x @ turn, books)
+    error = ((x - decoded(code, books) @ turn.T) ** 2).sum(1)
+    got = {r["vec_id"]: r for r in QUERIES["opq_fit"](spark, sf_dir).collect()}
+    assert [got[r["vec_id"]]["code"] for r in table] == code.tolist()
+    assert np.allclose([got[r["vec_id"]]["error"] for r in table], error, atol=1e-5)
+
+
 def test_find_scale_counts(sample):
     x, q, rg, base, queries = sample
     for r in W.find_scale(base, queries, 5, 9, DIM).collect():
