@@ -95,7 +95,7 @@ def grid_search(base: DataFrame, queries: DataFrame, axes: list[int], cell: floa
     for n in range(len(axes)):
         right = right.withColumn(f"__c{n}", F.explode(F.sequence(f"__a{n}", f"__b{n}")))
     keys = [f"__c{n}" for n in range(len(axes))]
-    found = left.join(right, keys).where(P.in_box(F.col("x"), F.col("q"), F.col("rg"), d)).select("qid", "vec_id")
+    found = renewed(left).join(renewed(right), keys).where(P.in_box(F.col("x"), F.col("q"), F.col("rg"), d)).select("qid", "vec_id")
     return found if wide.isEmpty() else found.unionByName(interval_search(base, wide, d))
 
 

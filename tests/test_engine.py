@@ -1,5 +1,10 @@
 """Operators against NumPy brute force, and the edge cases that the tables do not hold."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -66,6 +71,20 @@ def test_access_paths_agree(sample):
     assert pairs(J.sparse_search(base, dims)) == truth
 
 
+def test_grid_search_in_a_fresh_session(sf_dir):
+    """As a session's first query, whose columns have the smallest ids."""
+    code = f"""
+from pyspark.sql import SparkSession
+from boxloom.plans.registry import QUERIES
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows:", QUERIES["grid_search"](spark, {sf_dir!r}).count())
+"""
+    root = Path(__file__).resolve().parent.parent
+    own = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=own | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300)
+    assert "rows: 83" in done.stdout, done.stderr[-2000:]
+
+
 def test_boundary_zero_negative_and_empty(spark):
     base = vectors(spark, [[1.5, 0], [1.0, 0], [3.0, 0]])
     queries = query_frame(spark, [[1, 0]] * 4, [[0.5, 0], [0, 0], [-1, 0], [0.4, 0]])
