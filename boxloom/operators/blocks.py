@@ -2,8 +2,8 @@
 
 A tree of median cuts deals base rows to leaf blocks; a block's bounding box is a row of minima and maxima.  A search
 first meets the boxes, one row per block, then joins the rows of reached blocks by block number: rows of other blocks
-are never compared.  The cuts are a few numbers on the driver (at most 2 ** ``MOST_LEVELS``), found by one aggregation
-for each level; rows and boxes stay distributed.  A layout written with ``partitionBy("block")`` also lets a scan skip the files of
+are never compared.  The cuts are a few numbers on the driver (at most 2 ** ``MOST_LEVELS``), exact medians found for
+each level from a table of the axes' values; rows and boxes stay distributed.  A layout written with ``partitionBy("block")`` also lets a scan skip the files of
 blocks that no query reaches.
 """
 
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.vectors import literal
+from ..sources.shared import stored
 from .joins import renewed, theta_join
+from .stats import quantiles
 
 MOST_LEVELS = 16
-SKETCH = 100_000
 
 
 @dataclass
@@ -42,17 +43,17 @@ class KdTree:
 
 
 def kd_tree(base: DataFrame, levels: int, axes: int) -> KdTree:
-    """Median cuts along the first ``axes`` dimensions in turn."""
+    """Lower medians along the first ``axes`` dimensions in turn, exact at any number of rows."""
     if levels > MOST_LEVELS:
         raise ValueError("too many levels")
     cuts = np.full(2**levels, np.inf)
+    rows = stored(base.select(F.slice("x", 1, axes).alias("x")), "axes")
     for level in range(levels):
         tree = KdTree(level, axes, cuts)
         node = tree.block(F.col("x")) + 2**level
         value = F.col("x")[level % axes].cast("double")
-        found = base.select(node.alias("node"), value.alias("v")).groupBy("node").agg(F.percentile_approx("v", F.lit(0.5), F.lit(SKETCH)).alias("cut")).collect()  # 2 ** level rows
-        for r in found:
-            cuts[r["node"]] = r["cut"]
+        for r in quantiles(rows.select(node.alias("i"), value.alias("v")), [0.5], lower=True).collect():  # 2 ** level rows
+            cuts[r["i"]] = r["value"]
     return KdTree(levels, axes, cuts)
 
 

@@ -38,8 +38,9 @@ def largest(base: DataFrame, d: int) -> np.ndarray:
 BINS = 4_096
 
 
-def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
-    """(i, share, value): exact quantiles of ``v`` for each ``i``, interpolated linearly between neighbours.
+def quantiles(rows: DataFrame, shares: list[float], lower: bool = False) -> DataFrame:
+    """(i, share, value): exact quantiles of ``v`` for each ``i``, interpolated linearly between neighbours, or the lower
+    neighbour with ``lower``.
 
     A histogram of ``BINS`` bins for each ``i`` tells which bins hold the wanted ranks; only the values in these are
     counted and ordered, so no state holds all values of a group."""
@@ -59,7 +60,8 @@ def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
     values = values.withColumn("first", F.col("start") + F.coalesce(F.sum("times").over(upto), F.lit(0)))
     near = values.join(ranks, "i").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("times")))
     low, high = F.min("v"), F.max("v")
-    return near.groupBy("i", "share").agg((low + (high - low) * F.first(F.col("rank") - F.floor("rank"))).alias("value"))
+    value = low if lower else low + (high - low) * F.first(F.col("rank") - F.floor("rank"))
+    return near.groupBy("i", "share").agg(value.alias("value"))
 
 
 def percentiles(base: DataFrame, at: float, absolute: bool = False) -> DataFrame:

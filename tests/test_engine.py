@@ -365,6 +365,22 @@ def test_blocks_are_pruned(spark):
     assert sorted(r["vec_id"] for r in BL.block_search(placed, boxes, q, 2).collect()) == [0, 1, 2, 16, 17, 18, 32, 33, 34]
 
 
+def test_cuts_are_exact_medians_of_many_rows(spark):
+    """More rows than a sketch of quantiles holds: both medians along each axis, level by level."""
+    from boxloom.operators import blocks as BL
+
+    n = 250_000
+    parts = F.xxhash64("id") / 2**40, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(700)) / 7
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*parts).alias("x")).cache()
+    x = np.array([r["x"] for r in rows.select("x").collect()])
+    cuts, node = BL.kd_tree(rows, 4, 2).cuts, np.ones(n, int)
+    for level in range(4):
+        v = x[:, level % 2]
+        for k in np.unique(node):
+            assert cuts[k] == np.sort(v[node == k])[((node == k).sum() - 1) // 2]
+        node = 2 * node + (v >= cuts[node])
+
+
 def test_model_files_are_checked(spark, tmp_path):
     import numpy as np
 
