@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from boxloom.plans.registry import QUERIES, SQL
 
@@ -54,6 +55,25 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert same(rows(df.columns, df.collect(), fractions), rows(list(found.columns), found.df().astype(object).values.tolist(), fractions))
 
 
+@pytest.fixture(scope="module")
+def many_vectors(spark, tmp_path_factory):
+    """A folder with more embeddings than a sketch of quantiles tells apart."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.xxhash64("id", i) / 2.0**64).cast("float"))
+    spark.range(220_000).select(F.col("id").alias("vec_id"), x.alias("embedding")).coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["kd_traverse"])
+def test_boxes_of_many_rows_equal_sql(spark, many_vectors, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
+    found = con.sql(SQL[name])
+    order = [F.col(c) for c in found.columns]
+    expected = sorted(tuple(map(plain, r)) for r in found.fetchall())
+    assert sorted(tuple(map(plain, r)) for r in QUERIES[name](spark, many_vectors).select(*order).collect()) == expected
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
