@@ -64,7 +64,7 @@ def many_vectors(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["kd_traverse"])
+@pytest.mark.parametrize("name", ["kd_traverse", "rtree_insert"])
 def test_boxes_of_many_rows_equal_sql(spark, many_vectors, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{many_vectors}/embeddings.parquet/*.parquet'")
