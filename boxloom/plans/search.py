@@ -10,6 +10,7 @@ from ..functions.vectors import dims
 from ..operators import blocks as BL
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import pairs as X
 from ..operators import ranking as R
 from ..sources.shared import shared_path
 from ..streaming import search as S
@@ -246,7 +247,7 @@ def argsort(spark, sf):
 )
 def recall_at_t(spark, sf):
     b = base(spark, sf)
-    out = R.recall_at(rank_by_dist(spark, sf), interval_search(spark, sf), b.count())
+    out = R.recall_of_scored(X.scored(b, queries(spark, sf), D), b.count())
     return out.select("t", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
 

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from boxloom.functions import distance as D
 from boxloom.functions import vectors as V
 from boxloom.functions.hashing import E2Lsh
+from boxloom.functions.predicates import in_box
 from boxloom.operators import joins as J
 from boxloom.operators import lsh as L
 from boxloom.operators import maintenance as MT
 from boxloom.operators import metrics as M
 from boxloom.operators import multiindex as I
+from boxloom.operators import pairs as X
 from boxloom.operators import quantize as Z
 from boxloom.operators import ranking as R
 from boxloom.operators import workload as W
@@ -132,6 +134,32 @@ def test_rank_all_and_top_k(spark):
     assert R.top_k(rows, "s", 4).count() == 12
 
 
+def test_scored_pairs_and_their_recall(spark, monkeypatch):
+    """Tiles equal the column expressions; recall from buckets equals recall from the whole ranking, with ties, copies,
+    widths of zero and below, queries in blocks, a query without hits and one with nearly all rows."""
+    r = np.random.default_rng(8)
+    x = np.round(r.normal(size=(400, DIM)), 1).astype("f4")
+    x[100:180] = x[3]
+    rg = r.uniform(0.8, 2.5, size=(9, DIM)).astype("f4")
+    rg[1, 2], rg[2, 0], rg[3] = 0, -1, 9
+    base, queries = vectors(spark, x).coalesce(1).cache(), query_frame(spark, x[:9], rg).cache()
+    c, values = F.col, ("qid", "vec_id", "dist", "hit")
+    plain = base.crossJoin(queries).select("qid", "vec_id", F.round(D.weighted_dense(c("x"), c("q"), c("rg"), 2, DIM), 9).alias("dist"), in_box(c("x"), c("q"), c("rg"), DIM).alias("hit")).cache()
+    truth = plain.where("hit")
+    wanted = {r["t"]: (r["recall"], r["precision"]) for r in R.recall_at(R.rank_all(plain, "dist"), truth, 400).collect()}
+    monkeypatch.setattr(X, "TASK_PAIRS", 1_000)
+    monkeypatch.setattr(X, "TILE_ROWS", 100)
+    for limit in (20_000, 4):
+        monkeypatch.setattr(J, "BROADCAST_QUERIES", limit)
+        scored = X.scored(base, queries, DIM)
+        assert scored.rdd.getNumPartitions() > 1
+        assert sorted(scored.select(*values).collect()) == sorted(plain.select(*values).collect())
+        for width in (0.01, 0.5, 16.0):
+            found = R.recall_of_scored(scored, 400, buckets_per_unit=width).collect()
+            assert len(found) == len(wanted) == 10
+            assert all((row["recall"], row["precision"]) == pytest.approx(wanted[row["t"]], abs=1e-12) for row in found)
+
+
 def test_pq_paths(sample):
     x, q, rg, base, queries = sample
     pq = Z.PQ(2, 8).fit(base, DIM, steps=2)
