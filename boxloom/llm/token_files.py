@@ -7,8 +7,10 @@ padding of a file's last sequence); ``.doc.arrow`` holds a row per document: key
 manifest, a row per file pair, adds the number of ids in all files before.  :func:`sequence` reads one sequence of a
 memory-mapped file.
 
-Encoding is cached by unit, a word or a run of signs with the white space before it: a byte-level BPE never merges
-across such a place.  Every unit is encoded by the tokenizers library.  A text that holds the string of a special token
+Encoding is cached twice: by piece, what follows a space up to the next, and for pieces not seen before by unit, a word or
+a run of signs with the white space before it: a byte-level BPE never merges across such a place.  A text with a space
+before white space or its end, where the library may cut elsewhere, is cut into units alone.  Every unit is encoded by
+the tokenizers library.  A text that holds the string of a special token
 is given to the library whole, which turns that string into its id, as it does by default.
 
 Defined results: a null text is empty, so its only id is the end id; rows without a key come first; rows with equal
@@ -34,7 +36,8 @@ from .files import make_folder, reading, task_file, writing
 
 LENGTH = 2_048
 SEQUENCES = 64  # in a batch of a file
-CACHE_UNITS = 600_000
+CACHE_UNITS = 200_000
+CACHE_PIECES = 1_200_000
 CACHED_LENGTH = 64
 END_ID = 2  # fixed by the query's contract
 
@@ -53,6 +56,10 @@ class TextEncoder(dict):
 
     #: White space as the tokenizers library has it: Python's, but not the four separators U+001C to U+001F.
     units = re.compile(r"[^\S\x1c-\x1f]*(?:(?:[^\w\s]|[\d_\x1c-\x1f])*+[^\W\d_]+|(?:[^\w\s]|[\d_\x1c-\x1f])+)|[^\S\x1c-\x1f]+")
+    #: A space where a cut before it may differ from the library's.
+    loose = re.compile(r" (?:\s|\Z)")
+    #: Signs that are a unit of their own after a word.
+    signs = frozenset(".,;:!?)")
     #: Units that the library takes as one word, so that its model alone gives the ids.
     word = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
@@ -68,13 +75,17 @@ class TextEncoder(dict):
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.space, self.pieces = self.characters[0x20], Pieces(self)
 
-    def __missing__(self, unit: str) -> bytes:
+    def encoded(self, unit: str) -> bytes:
         if self.word.fullmatch(unit):
             ids = [x.id for x in self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))]
         else:
             ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        got = array(self.code, ids).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self.encoded(unit)
         if len(unit) <= CACHED_LENGTH:
             if len(self) >= CACHE_UNITS:
                 self.clear()
@@ -85,9 +96,45 @@ class TextEncoder(dict):
         """The ids of a text as integers of ``dtype``."""
         if self.added and self.added.search(text):
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.loose.search(text):
+            return self.by_units(text)
+        first, *rest = text.split(" ")
+        return self.by_units(first) + b"".join(map(self.pieces.__getitem__, rest))
+
+    def by_units(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.units.findall(text)))
 
 
+class Pieces(dict):
+    """Ids of a space and the piece after it.  Words are kept here only, other parts of pieces as units of the encoder;
+    pieces over a line end hardly come twice and are not kept."""
+
+    def __init__(self, encoder: TextEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        code = self.encoder
+        if piece.isalpha():
+            if piece.isascii():
+                got = array(code.code, [x.id for x in code.model.tokenize(code.space + piece)]).tobytes()
+            else:
+                got = code.encoded(" " + piece)
+        elif piece[-1:] in code.signs and piece[:-1].isalpha():
+            got = self[piece[:-1]] + code[piece[-1]]
+        else:
+            first, *rest = code.units.findall(" " + piece)
+            head = self[first[1:]] if rest and first[1:].isalpha() else code[first]
+            got = b"".join([head, *map(code.__getitem__, rest)])
+            if "\n" in piece:
+                return got
+        if len(piece) <= CACHED_LENGTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 _encoders: dict[str, TextEncoder] = {}
 
 

@@ -139,6 +139,22 @@ def test_token_files(spark):
     assert TF.read_token_files(empty).count() == 0
 
 
+def test_pieces_equal_the_library(monkeypatch):
+    """Texts cut at spaces, with odd white space, signs, foreign letters and a special token, also while caches are
+    cleared; of pieces seen before nothing is cut again."""
+    code, r = TF.TextEncoder(TF.default_tokenizer()), random.Random(5)
+    monkeypatch.setattr(TF, "CACHE_PIECES", 50)
+    signs = [*" " * 8, *"abXY'éñд本19.,!?-_\n\t\r\x0b\x1c\x1f\x85\xa0\u3000\u200b²́😀", "'s", "word", " the", "<|endoftext|>", "\n\n", " \n", "  "]
+    for text in ["", " ", "a ", " a", "a  b", "a \nb", "a\n b", "a\t \tb", "word. word? word\nword", *("".join(r.choices(signs, k=r.randint(1, 24))) for _ in range(5_000))]:
+        ids = np.frombuffer(code.text(text), code.dtype).tolist()
+        assert ids == code.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    code.text("one two three. four")
+    cut, units = [], code.units
+    code.units = type("Cuts", (), {"findall": staticmethod(lambda text: cut.append(text) or units.findall(text))})
+    code.text("one four three. two two")
+    assert cut == ["one"]
+
+
 def test_token_files_of_a_hot_key(spark):
     """Most rows under one key or without one: they are dealt to several files, in ascending order all the same."""
     texts = [f"some text {i % 7}" for i in range(400)]
