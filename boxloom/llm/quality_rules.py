@@ -27,6 +27,7 @@ counted whole by one task; an empty table gives an empty result; columns named i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,30 +136,34 @@ def medians(counts: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.where(2 * F.col("upto") >= F.col("all")).groupBy(*keys).agg(F.min("value").alias("median"), F.first("all").alias("all"))
 
 
-def centres(counts: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Arrays ``centre`` and ``spread`` (median, squared deviation) and ``rows`` for each key; counts: (keys,
-    name, value, n) with the number of the statistic as name."""
-    keyed = [*keys, "name"]
-    counts = counts.groupBy(*keyed, "value").agg(F.sum("n").alias("n"))
-    middle = kept(medians(counts, keyed), f"medians-{tag}")
+def centres(counts: DataFrame) -> DataFrame:
+    """Arrays ``centre`` and ``spread`` (median, squared deviation) and ``rows`` for each stratum, language and for all: ``of``
+    has an empty source for a language and an empty language for all, which no stratum has.  counts: (stratum, name,
+    value, n) with the number of the statistic as name."""
+    lang, source, whole = F.col("stratum.lang").alias("lang"), F.col("stratum.source").alias("source"), F.lit("")
+    levels = F.array(F.struct(lang, source), F.struct(lang, whole.alias("source")), F.struct(whole.alias("lang"), whole.alias("source")))
+    keyed = ["of", "name"]
+    counts = counts.select(F.explode(levels).alias("of"), "name", "value", "n").groupBy(*keyed, "value").agg(F.sum("n").alias("n"))
+    middle = kept(medians(counts, keyed), "medians")
     away = counts.join(middle.drop("all"), keyed).withColumn("value", F.abs(F.col("value") - F.col("median"))).drop("median")
     both = middle.join(medians(away, keyed).select(*keyed, F.col("median").alias("away")), keyed)
     spread = F.pow(F.col("away") * (NORMAL / GRID), F.lit(2.0))
-    ordered = both.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("name", (F.col("median") / GRID).alias("c"), spread.alias("s")))).alias("x"), F.first("all").alias("rows"))  # as many entries as statistics
-    return ordered.select(*keys, F.col("x.c").alias("centre"), F.col("x.s").alias("spread"), "rows")
+    ordered = both.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("name", (F.col("median") / GRID).alias("c"), spread.alias("s")))).alias("x"), F.first("all").alias("rows"))  # as many entries as statistics
+    return ordered.select("of", F.col("x.c").alias("centre"), F.col("x.s").alias("spread"), "rows")
 
 
 def mixed(own: Column, target: Column, w: Column) -> Column:
     return w * own + (1 - w) * target
 
 
-def targets(counts: DataFrame) -> DataFrame:
-    """For each language, its centre ``tc`` and spread ``ts``, mixed with ``WEIGHT`` rows of those of all."""
-    languages = centres(counts, ["lang"], "language").crossJoin(F.broadcast(centres(counts.withColumn("one", F.lit(1)), ["one"], "all").select(F.col("centre").alias("ac"), F.col("spread").alias("as"))))  # one row
+def targets(found: DataFrame) -> DataFrame:
+    """For each language, its centre ``tc`` and spread ``ts``, mixed with ``WEIGHT`` rows of those of all; found: ``centres``."""
+    everything = found.where("of.lang = ''").select(F.col("centre").alias("ac"), F.col("spread").alias("as"))
+    languages = found.where("of.lang <> '' and of.source = ''").crossJoin(F.broadcast(everything))  # one row
     w = F.col("rows") / (F.col("rows") + WEIGHT)
     between = F.transform(F.zip_with("centre", "ac", lambda a, b: (a - b) * (a - b)), lambda x: x * w * (1 - w))
     spread = F.zip_with(F.zip_with("spread", "as", lambda a, b: mixed(a, b, w)), between, lambda a, b: a + b)
-    return languages.select("lang", F.zip_with("centre", "ac", lambda a, b: mixed(a, b, w)).alias("tc"), spread.alias("ts"))
+    return languages.select("of.lang", F.zip_with("centre", "ac", lambda a, b: mixed(a, b, w)).alias("tc"), spread.alias("ts"))
 
 
 def sums() -> list[Column]:
@@ -166,6 +171,11 @@ def sums() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(c).alias(f"u{i}") for i, c in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"v{i}_{j}") for i, j in PAIRS]]
 
 
+def summed() -> Column:
+    """``sums`` but the number of rows as one array ``x``."""
+    return F.array(*[f"u{i}" for i in range(N)], *[f"v{i}_{j}" for i, j in PAIRS]).alias("x")
+
+
 #: The entries of a lower triangle by rows: their places, and where the rows of i and j begin.
 ENTRIES = "array(" + ", ".join(f"named_struct('at', {at}, 'i', {i}, 'j', {j}, 'r', {i * (i + 1) // 2}, 'q', {j * (j + 1) // 2})" for at, (i, j) in enumerate(PAIRS)) + ")"
 SQUARES = "array(" + ", ".join(f"{x * x!r}D" for x in FLOORS.values()) + ")"
@@ -184,19 +194,19 @@ def factored(rows: DataFrame, keep: list[str]) -> DataFrame:
     return lower.select(*keep, "m", F.expr(f"aggregate({ENTRIES}, cast(array() AS array<double>), (v, e) -> concat(v, array({inverse})))").alias("inv"), F.expr(logdet).alias("logdet"))
 
 
-def estimates(summed: DataFrame, keep: list[str], factor: float) -> DataFrame:
-    """Estimates from ``sums`` (covariances times ``factor``), mixed with the target tc, ts; ``rows``: the stratum's."""
-    u, v = F.array(*[f"u{i}" for i in range(N)]), F.array(*[f"v{i}_{j}" for i, j in PAIRS])
-    first = summed.select(*keep, "tc", "ts", "n", v.alias("v"), (F.col("rows") / (F.col("rows") + WEIGHT)).alias("w"), F.transform(u, lambda x: x / F.col("n") / GRID).alias("o"))
+def estimates(rows: DataFrame, factor: float) -> DataFrame:
+    """``rows`` with centre ``m`` and covariance ``s`` (lower triangle) from sums ``x`` over ``n`` rows (covariances times
+    ``factor``), mixed with the target tc, ts; ``rows``: the stratum's."""
+    first = rows.withColumns({"w": F.col("rows") / (F.col("rows") + WEIGHT), "o": F.expr(f"transform(slice(x, 1, {N}), y -> y / n / {GRID})"), "v": F.slice("x", N + 1, len(PAIRS))})
     own = f"w * {factor!r}D * (v[e.at] / n / {GRID * GRID} - o[e.i] * o[e.j])"
     between = "w * (1 - w) * (o[e.i] - tc[e.i]) * (o[e.j] - tc[e.j])"
     cov = F.expr(f"transform({ENTRIES}, e -> {own} + {between} + CASE WHEN e.i = e.j THEN (1 - w) * ts[e.i] ELSE 0D END)")
-    return factored(first.select(*keep, F.expr("zip_with(o, tc, (x, y) -> w * x + (1 - w) * y)").alias("m"), cov.alias("s")), keep)
+    return first.withColumns({"m": F.expr("zip_with(o, tc, (x, y) -> w * x + (1 - w) * y)"), "s": cov})
 
 
-def diagonal(rows: DataFrame, centre: str, spread: str, keep: list[str]) -> DataFrame:
-    """Estimates with independent statistics, from arrays."""
-    return factored(rows.select(*keep, F.col(centre).alias("m"), F.expr(f"transform({ENTRIES}, e -> CASE WHEN e.i = e.j THEN {spread}[e.i] ELSE 0D END)").alias("s")), keep)
+def diagonal(spread: str) -> Column:
+    """The covariance of independent statistics."""
+    return F.expr(f"transform({ENTRIES}, e -> CASE WHEN e.i = e.j THEN {spread}[e.i] ELSE 0D END)")
 
 
 def known(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -204,11 +214,11 @@ def known(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.where(" and ".join(f"{c} is not null" for c in names))
 
 
-def with_fit(rows: DataFrame, fit: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with the entries of their stratum's estimates as columns."""
+def with_fit(rows: DataFrame, fit: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the entries of their stratum's estimates as columns; small: ``fit`` can be sent to every executor."""
     entries = {f"m{i}": F.get("m", F.lit(i)) for i in range(N)} | {f"w{k}": F.get("inv", F.lit(k)) for k in range(len(PAIRS))}
     flat = known(fit.select("*", *[v.alias(k) for k, v in entries.items()]).drop("m", "inv"), list(entries))
-    return rows.join(F.broadcast(flat), "stratum", how) if is_small(fit, BROADCAST_STRATA) else join_with_hot_keys(rows, flat, "stratum", how=how)
+    return rows.join(F.broadcast(flat), "stratum", how) if small else join_with_hot_keys(rows, flat, "stratum", how=how)
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
@@ -218,51 +228,60 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return off.withColumn("d2", sum((F.pow(x, F.lit(2.0)) for x in z), F.lit(0.0)))
 
 
-def concentrated(rows: DataFrame, fit: DataFrame, strata: DataFrame) -> DataFrame:
-    """A concentration step of each (stratum, start) of ``fit``: new estimates, the median bin of the distances and the
-    old determinant."""
+def concentrated(rows: DataFrame, fit: DataFrame, small: bool) -> DataFrame:
+    """A concentration step of each (stratum, start) of ``fit``: new estimates, the median bin of the distances, and the
+    old estimates ``m0``, ``inv0`` and determinant ``before``.  The bins of a stratum and start, some hundreds at most, are
+    added up in one array: with windows and a second set of sums the driver compiles half as much code again."""
     keys = ["stratum", "start"]
-    near = with_distance(with_fit(rows, fit)).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * BINS))
-    binned = near.groupBy(*keys, "bin").agg(*sums())
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))
-    ranked = binned.withColumns({"all": total, "upto": upto}).where(F.col("upto") - F.col("n") < F.col("all") * SHARE)
-    added = [F.sum(c).alias(c) for c in ("n", *[f"u{i}" for i in range(N)], *[f"v{i}_{j}" for i, j in PAIRS])]
-    summed = ranked.groupBy(*keys).agg(*added, F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin"))).alias("middle"))
-    summed = summed.join(strata.select("stratum", "rows", "tc", "ts"), "stratum").join(fit.select(*keys, F.col("logdet").alias("before")), keys)
-    return estimates(summed, [*keys, "middle", "before"], CONSISTENCY)
+    near = with_distance(with_fit(rows, fit.select(*keys, "m", "inv"), small)).withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-10) * BINS))
+    bins = near.groupBy(*keys, "bin").agg(*sums()).select(*keys, "bin", "n", summed())
+    grouped = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n", "x"))).alias("bins"))  # as many entries as bins
+    counted = grouped.withColumn("all", F.expr("aggregate(bins, 0L, (a, e) -> a + e.n)"))
+    none = f"named_struct('upto', 0L, 'n', 0L, 'x', array_repeat(0L, {N + len(PAIRS)}), 'middle', cast(null AS bigint))"
+    inner = f"a.upto < all * {SHARE!r}D"
+    added = f"'n', if({inner}, a.n + e.n, a.n), 'x', if({inner}, zip_with(a.x, e.x, (p, q) -> p + q), a.x)"
+    middle = "coalesce(a.middle, if(2 * (a.upto + e.n) >= all, e.bin, null))"
+    total = F.expr(f"aggregate(bins, {none}, (a, e) -> named_struct('upto', a.upto + e.n, {added}, 'middle', {middle}))")
+    before = fit.select(*keys, "rows", "tc", "ts", F.col("m").alias("m0"), F.col("inv").alias("inv0"), F.col("logdet").alias("before"))
+    total = counted.select(*keys, total.alias("t")).select(*keys, "t.n", "t.x", "t.middle").join(before, keys)
+    return factored(estimates(total, CONSISTENCY), [*keys, "rows", "tc", "ts", "middle", "m0", "inv0", "before"])
+
+
+def beginnings(rows: DataFrame) -> DataFrame:
+    """The three starts of each stratum, with its number of ``rows`` and its target ``tc``, ``ts``."""
+    names = F.array(*[F.struct(F.lit(i).alias("name"), F.col(c).alias("value")) for i, c in enumerate(NAMES)])
+    counts = stored(rows.select("stratum", F.inline(names)).groupBy("stratum", "name", "value").agg(F.count("*").alias("n")), "value-counts")
+    found = stored(centres(counts), "centres")
+    strata = found.where("of.source <> ''").withColumnRenamed("of", "stratum").withColumn("lang", F.col("stratum.lang")).join(targets(found), "lang")
+    whole = rows.groupBy("stratum").agg(*sums()).select("stratum", "n", summed())
+    both = estimates(strata.join(whole, "stratum"), 1.0)
+    own = {"oc": F.zip_with("centre", "tc", lambda a, b: mixed(a, b, F.col("w"))), "os": F.zip_with("spread", "ts", lambda a, b: mixed(a, b, F.col("w")))}
+    start = lambda i, m, s: F.struct(F.lit(i).alias("start"), F.col(m).alias("m"), s.alias("s"))
+    starts = F.array(start(0, "oc", diagonal("os")), start(1, "tc", diagonal("ts")), start(2, "m", F.col("s")))
+    kinds = both.withColumns(own).select("stratum", "rows", "tc", "ts", F.inline(starts))
+    return factored(kinds, ["stratum", "start", "rows", "tc", "ts"])
 
 
 def fitted(rows: DataFrame) -> DataFrame:
     """Estimates of least determinant for each stratum, with ``scale`` from squared distance to chi-square.  Every step
-    writes its estimates, a row per stratum, so that plans stay short."""
-    names = F.array(*[F.struct(F.lit(i).alias("name"), F.col(c).alias("value")) for i, c in enumerate(NAMES)])
-    counts = stored(rows.select("stratum", F.inline(names)).groupBy("stratum", "name", "value").agg(F.count("*").alias("n")), "value-counts")
-    aims = targets(counts.select(F.col("stratum.lang").alias("lang"), "name", "value", "n"))
-    whole = rows.groupBy("stratum").agg(*sums())
-    strata = centres(counts, ["stratum"], "stratum").withColumn("lang", F.col("stratum.lang")).join(aims, "lang")
-    strata = stored(strata.join(whole, "stratum"), "strata")
-    w = F.col("rows") / (F.col("rows") + WEIGHT)
-    own = strata.withColumns({"oc": F.zip_with("centre", "tc", lambda a, b: mixed(a, b, w)), "os": F.zip_with("spread", "ts", lambda a, b: mixed(a, b, w))})
-    starts = diagonal(own.withColumn("start", F.lit(0)), "oc", "os", ["stratum", "start"])
-    starts = starts.union(diagonal(strata.withColumn("start", F.lit(1)), "tc", "ts", ["stratum", "start"]))
-    starts = starts.union(estimates(strata.withColumn("start", F.lit(2)), ["stratum", "start"], 1.0))
-    fit = stored(starts, "estimates")
-    fit = stored(concentrated(rows, fit, strata), "estimates")
-    fit = stored(concentrated(rows, fit, strata), "estimates")
-    best = fit.groupBy("stratum").agg(F.min(F.struct("logdet", "start")).alias("best")).select("stratum", "best.start")
-    fit = stored(fit.join(best, ["stratum", "start"]), "estimates")
-    done = None
-    while not fit.isEmpty():
-        step = stored(concentrated(rows.join(F.broadcast(fit.select("stratum")), "stratum", "left_semi") if done is not None and is_small(fit) else rows, fit, strata), "estimates")
+    writes its estimates, a row per stratum and start, so that plans stay short; what a step needs goes along in them, so
+    that each takes one query and two joins, as every query and broadcast costs memory of the driver."""
+    fit = stored(beginnings(rows), "estimates")
+    small = is_small(fit, BROADCAST_STRATA)
+    for _ in range(2):
+        fit = stored(concentrated(rows, fit, small), "estimates")
+    best = F.min(F.struct("logdet", "start", "rows", "tc", "ts", "m", "inv")).alias("best")
+    fit = stored(fit.groupBy("stratum").agg(best).select("stratum", "best.*"), "estimates")
+    small = small or is_small(fit, BROADCAST_STRATA)
+    done = []
+    while not done or not fit.isEmpty():
+        step = stored(concentrated(rows, fit, small), "estimates")
         falls = F.col("logdet") < F.col("before") - LEAST_FALL
         # the step's median is that of distances under the estimates before it, which are final if it lowers nothing
-        ended = fit.join(step.where(~falls).select("stratum", F.col("middle").alias("median")), "stratum")
-        scale = F.least(F.lit(1.0), F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), (F.col("median") + 1) / BINS))
-        ended = stored(ended.withColumn("scale", scale).drop("start", "middle", "before", "median", "logdet"), "estimates")
-        done = ended if done is None else done.union(ended)
+        scale = F.least(F.lit(1.0), F.lit(CHI_MEDIAN) / F.pow(F.lit(2.0), (F.col("middle") + 1) / BINS))
+        done.append(step.where(~falls).select("stratum", F.col("m0").alias("m"), F.col("inv0").alias("inv"), scale.alias("scale")))
         fit = step.where(falls)
-    return rows.sparkSession.createDataFrame([], "stratum struct<lang:string,source:string>") if done is None else done
+    return reduce(DataFrame.union, done)
 
 
 def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -281,7 +300,7 @@ def quality_rules(df: DataFrame, keep: list[str], text: str = "text", lang: str
     else:
         with intermediate(spark):
             fit = kept(fitted(good), "estimates")
-        judged = with_distance(with_fit(rows, fit, "left"))
+        judged = with_distance(with_fit(rows, fit, is_small(fit, BROADCAST_STRATA), "left"))
     distance = F.col("d2") * F.col("scale")
     out = [F.col(f"__kept.`{c}`").alias(c) for c in names]
     return judged.select(*out, *[F.col(c).cast("long").alias(c) for c in COUNTS], "base_failed", distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"))

@@ -521,6 +521,15 @@ def test_distances_equal_direct_computation(spark):
     assert len(junk) > 15 and not any(got[i]["kept"] for i in junk) and got[1000]["kept"]
 
 
+def test_fit_takes_few_joins(spark, monkeypatch):
+    """Each join, with its broadcast and its code, takes memory of the driver, which hardly gets any of it back."""
+    plans, stored = [], QR.stored
+    monkeypatch.setattr(QR, "stored", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, tag))
+    assert QR.quality_rules(docs(spark, [(i, prose(i, 60 + i % 100)) for i in range(200)]), ["doc_id"]).count() == 200
+    joins, windows = ([x.count(node) for x in plans] for node in ("Join ", "Window "))
+    assert max(joins) <= 3 and max(windows) <= 2  # 9 and 6 where the driver went over its memory
+
+
 def test_strata_with_null_names(spark):
     frame = docs(spark, [(i, prose(i, 80)) for i in range(30)]).withColumns({"lang": F.lit(None).cast("string"), "source": F.when(F.col("doc_id") % 2 == 0, "a")})
     assert QR.quality_rules(frame, frame.columns).where("kept").count() == 30
